@@ -42,7 +42,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def bind(value: Column, use) -> Column:
     """use(value) with value evaluated once per row, however often use refers to it."""
-    return F.transform(F.array(value), use)[0]
+    return F.transform(F.array(value), lambda x: use(x))[0]
 
 
 def fold(column: str, folds: int) -> Column:
