@@ -1,0 +1,4 @@
+"""Registered queries of the assimilation engine, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
