@@ -1,4 +1,417 @@
-"""Registered queries of the assimilation engine, and their SQL."""
+"""Registered queries of the assimilation engine, and the SQL that their results are compared with."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import maths as M
+from .operators import kernel, prep, spatial
+from .sources import observations as sources
+
+MEMBERS = 64
+BOXES = ((0.0, 40.0, -60.0, 60.0), (100.0, 120.0, -30.0, 30.0))
+REGIONS = [("global", 0.0, 360.0, -90.0, 90.0), ("north", 0.0, 360.0, 20.0, 90.0), ("tropics", 0.0, 360.0, -20.0, 20.0), ("south", 0.0, 360.0, -90.0, -20.0), ("box", 150.0, 250.0, -60.0, 60.0)]
+LAYERS = [("0-50", 0.0, 50.0), ("50-500", 50.0, 500.0), ("500-9999", 500.0, 9999.0)]
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Sums depend on the order of rows in their last digits. (Where means of few decimals end in ties, 1e-9 is added.)"""
+    return df.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
+
+
+def _obs(spark: SparkSession, d: str) -> DataFrame:
+    return prep.on_grid(sources.events(spark, d))
+
+
+def _good(spark: SparkSession, d: str) -> DataFrame:
+    return prep.with_status(_obs(spark, d), window=(-5.0, 5.0)).where(F.col("status") == "OK")
+
+
+def _with_inn(spark: SparkSession, d: str) -> DataFrame:
+    """Innovations against a background that is a function of the nearest cell."""
+    hx = 48.0 + 5.0 * ((F.floor(F.col("fi") + 0.5) % 36 + F.floor(F.col("fj") + 0.5)) % 7)
+    return _good(spark, d).withColumn("hx", hx).withColumn("inn", F.col("value") - F.col("hx"))
+
+
+def _ensemble(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("n"), F.transform("embedding", lambda x: 48 + 200 * x.cast("double")).alias("e"))
+
+
+def _small(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A few rows that are written here: of a proven size."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def _decided(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.col(f.name) + 1e-9).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
+
+
+# SQL -------------------------------------------------------------------------------------------------------------
+
+_OBS = """obs0 AS (SELECT event_id, user_id, event_type, value, CAST(json_extract(props,'$.k') AS INT) AS k, epoch_us(ts) AS us FROM events),
+obs AS (SELECT event_id AS id, event_type AS type, 'EVENTS' AS product, concat('I', user_id % 7) AS instrument, CAST(floor(us / 86400e6) AS BIGINT) AS file, user_id % 11 AS batch, value,
+ 0.5::DOUBLE + (k % 10) * 0.1::DOUBLE AS estd, (user_id * 37 + k * 3) % 360 + 0.5::DOUBLE AS lon, k * 1.6::DOUBLE - 79.2::DOUBLE AS lat,
+ CASE WHEN event_type IN ('view','click','error') THEN 0::DOUBLE ELSE (event_id % 40) * 25.0::DOUBLE END AS depth, us / 86400e6::DOUBLE - 19738::DOUBLE AS time FROM obs0),
+g0 AS (SELECT *, CASE WHEN (lon - 5) / 10 < 0 THEN (lon - 5) / 10 + 36 ELSE (lon - 5) / 10 END AS fi, CASE WHEN (lat + 80) / 10 >= -0.5 AND (lat + 80) / 10 <= 16.5 THEN (lat + 80) / 10 END AS fj,
+ CASE WHEN depth < 0 THEN -0.5::DOUBLE WHEN depth < 25 THEN 0 - 0.5 * (25 - depth) / 25::DOUBLE WHEN depth <= 50 THEN 0 + 0.5 * (depth - 25) / 25::DOUBLE WHEN depth < 100 THEN 1 - 0.5 * (100 - depth) / 50::DOUBLE WHEN depth <= 150 THEN 1 + 0.5 * (depth - 100) / 50::DOUBLE
+  WHEN depth < 300 THEN 2 - 0.5 * (300 - depth) / 150::DOUBLE WHEN depth <= 450 THEN 2 + 0.5 * (depth - 300) / 150::DOUBLE WHEN depth < 700 THEN 3 - 0.5 * (700 - depth) / 250::DOUBLE WHEN depth <= 950 THEN 3 + 0.5 * (depth - 700) / 250::DOUBLE END AS fk FROM obs),
+g1 AS (SELECT *, CAST((7 * (CAST(floor(fi + 0.5) AS BIGINT) % 36) + 3 * CAST(floor(fj + 0.5) AS BIGINT)) % 5 AS INT) AS numlevels FROM g0),
+grid AS (SELECT *, CASE numlevels WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 50 WHEN 2 THEN 150 WHEN 3 THEN 450 WHEN 4 THEN 950 END AS model_depth FROM g1)"""
+
+
+def _status_sql(window=(-15, 15), low=None, high=None, min_depth=0, boxes=(), stride=1) -> str:
+    c = [f"WHEN NOT (time >= {window[0]} AND time < {window[1]}) THEN 'WINDOW'", "WHEN value IS NULL OR isnan(value) THEN 'RANGE'"]
+    c += [f"WHEN value < {low} THEN 'RANGE'"] if low is not None else []
+    c += [f"WHEN value > {high} THEN 'RANGE'"] if high is not None else []
+    c += ["WHEN fi IS NULL OR fj IS NULL OR fk IS NULL THEN 'GRID'", "WHEN numlevels = 0 OR depth > model_depth THEN 'LAND'"]
+    c += [f"WHEN id % {stride} <> 0 THEN 'THINNED'"] if stride > 1 else []
+    c += [f"WHEN model_depth < {min_depth} THEN 'SHALLOW'"]
+    c += [f"WHEN lon BETWEEN {b[0]} AND {b[1]} AND lat BETWEEN {b[2]} AND {b[3]} THEN 'EXCLUDED'" for b in boxes]
+    return f"st AS (SELECT *, CASE {' '.join(c)} ELSE 'OK' END AS status FROM grid)"
+
+
+_GOOD = f"WITH {_OBS}, {_status_sql((-5, 5))}, good AS (SELECT * FROM st WHERE status = 'OK')"
+_INN = _GOOD + ", inn AS (SELECT *, value - hx AS inn FROM (SELECT *, 48.0::DOUBLE + 5.0::DOUBLE * ((CAST(floor(fi + 0.5) AS BIGINT) % 36 + CAST(floor(fj + 0.5) AS BIGINT)) % 7) AS hx FROM good))"
+_ENS = "WITH ens AS (SELECT vec_id AS n, list_transform(embedding, lambda x: 48 + 200 * CAST(x AS DOUBLE)) AS e FROM embeddings)"
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, digits: int = 6):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d), digits)
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _r(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"ROUND({n}, {digits}) AS {n}" for n in names)
+
+
+# sources ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_OBS} SELECT id, type, product, instrument, file, batch, {_r('value', 'estd', 'lon', 'lat', 'depth', 'time')} FROM obs")
+def scan_observations(spark, d):
+    return sources.events(spark, d)
+
+
+@query("SELECT l_orderkey, l_linenumber, ROUND(l_quantity * 2 - 1, 6) AS obs_value, ROUND(GREATEST(1 + l_discount * 10, l_tax * 20), 6) AS obs_estd FROM lineitem WHERE l_quantity IS NOT NULL AND l_linenumber IN (1, 3, 5)")
+def read_scattered(spark, d):
+    raw = spark.read.parquet(f"{d}/lineitem.parquet").select("*", (1 + F.col("l_discount") * 10).alias("std"), (F.col("l_tax") * 20).alias("error_std"))
+    out = sources.scattered(raw, "l_quantity", lon="l_suppkey", lat="l_linenumber", time="l_shipdate", std="std", error_std="error_std", flags={"l_linenumber": [1, 3, 5]}, scale=2.0, shift=-1.0)
+    return out.select("l_orderkey", "l_linenumber", "obs_value", "obs_estd")
+
+
+@query("SELECT batch, CAST(level AS INT) AS level, ROUND(value, 6) AS value, depth FROM (SELECT vec_id AS batch, generate_subscripts(embedding, 1) - 1 AS level, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings), LATERAL (SELECT level * 25.0::DOUBLE AS depth) WHERE (batch + level) % 4 <> 0")
+def read_profiles(spark, d):
+    raw = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("batch"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    raw = raw.select("*", F.transform("v", lambda x, i: i * F.lit(25.0)).alias("z"), F.transform("v", lambda x, i: F.when((F.col("batch") + i) % 4 != 0, 1).otherwise(0)).alias("q"))
+    return sources.profiles(raw, "v", "z", "q").select("batch", "level", "value", "depth")
+
+
+@query("SELECT vec_id AS record, CAST((p - 1) // 8 AS INT) AS j, CAST((p - 1) % 8 AS INT) AS i, ROUND(CAST(embedding[p] AS DOUBLE), 6) AS value FROM embeddings, range(1, 65) t(p)")
+def read_gridded(spark, d):
+    raw = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("record"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.transform(F.slice("embedding", j * 8 + 1, 8), lambda x: x.cast("double"))).alias("v"))
+    return sources.gridded(raw, "v").select("record", "j", "i", "value")
+
+
+@query(f"WITH {_OBS} SELECT id, CAST(floor(time / 0.5 + 0.5) AS INT) AS slot, ROUND(CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END, 6) AS lon FROM obs")
+def time_slots_and_longitudes(spark, d):
+    return sources.events(spark, d).select("id", M.slot(F.col("time"), 0.5).alias("slot"), M.normal_lon(F.col("lon"), -180.0).alias("lon"))
+
+
+# quality, errors, super-observations -------------------------------------------------------------------------------
+
+
+@query(f"WITH {_OBS}, {_status_sql((-10, 10), 5, 95, 60, BOXES, 3)} SELECT id, type, status, {_r('fi', 'fj', 'fk')} FROM st")
+def first_failing_check(spark, d):
+    return prep.with_status(_obs(spark, d), (-10.0, 10.0), 5.0, 95.0, 60.0, BOXES, 3).select("id", "type", "status", "fi", "fj", "fk")
+
+
+@query(f"WITH {_OBS}, {_status_sql((-10, 10), 5, 95, 60, BOXES, 3)} SELECT COALESCE(type, 'all') AS type, COALESCE(status, 'all') AS status, COUNT(*) AS n, ROUND(MIN(time), 6) AS first, ROUND(MAX(time), 6) AS last FROM st GROUP BY CUBE (type, status)")
+def status_counts(spark, d):
+    out = prep.with_status(_obs(spark, d), (-10.0, 10.0), 5.0, 95.0, 60.0, BOXES, 3).cube("type", "status").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+    return out.select(F.coalesce("type", F.lit("all")).alias("type"), F.coalesce("status", F.lit("all")).alias("status"), "n", "first", "last")
+
+
+@query("SELECT l_orderkey, l_linenumber, ROUND(LEAST(GREATEST(sqrt(s * s + 4) * 0.5, 0.9), 3), 6) AS estd, ROUND(s * pow(2.0, (l_linenumber % 5) / 3.0), 6) AS grown FROM (SELECT *, 1 + l_discount * 10 AS s FROM lineitem)")
+def error_chain(spark, d):
+    s, t = 1 + F.col("l_discount") * 10, (F.col("l_linenumber") % 5).cast("double")
+    estd = M.error_chain(F.lit(0.0), [("EQ", s), ("PLUS", 2.0), ("MULT", 0.5), ("MIN", 0.9), ("MAX", 3.0)])
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", estd.alias("estd"), M.error_growth(s, t, 3.0).alias("grown"))
+
+
+_CELLS = _GOOD + ", cells AS (SELECT *, CAST(floor(floor(fi + 0.5) / 3) AS INT) AS ci, CAST(floor(floor(fj + 0.5) / 3) AS INT) AS cj, CAST(floor(fk + 0.5) AS INT) AS ck, 1 / (estd * estd) AS w FROM good)"
+_SUPER = """SELECT type, ci, cj, ck, MIN(id) AS id, ROUND(SUM(value * w) / SUM(w), 6) AS value, ROUND(GREATEST(sqrt(1 / SUM(w)), 0.2), 6) AS estd,
+ ROUND(SUM(lat * w) / SUM(w), 6) AS lat, ROUND(SUM(depth * w) / SUM(w), 6) AS depth, ROUND(SUM(time * w) / SUM(w), 6) AS time,
+ CASE WHEN MIN(instrument) = MAX(instrument) THEN MIN(instrument) END AS instrument, CASE WHEN MIN(batch) = MAX(batch) THEN MIN(batch) END AS batch, COUNT(*) AS nobs FROM cells GROUP BY type, ci, cj, ck"""
+
+
+@query(f"{_CELLS} {_SUPER}")
+def superobservations(spark, d):
+    return prep.superobs(prep.with_cells(_good(spark, d), 3), ["type", "ci", "cj", "ck"], 0.2).select("type", "ci", "cj", "ck", "id", "value", "estd", "lat", "depth", "time", "instrument", "batch", "nobs")
+
+
+@query(f"{_CELLS.replace('1 / (estd * estd) AS w', 'var_samp(value) OVER (PARTITION BY type, floor(floor(fi + 0.5) / 3), floor(floor(fj + 0.5) / 3), floor(fk + 0.5)) AS sv')}, c2 AS (SELECT *, 1 / GREATEST(estd * estd, COALESCE(sv, 0)) AS w FROM cells) SELECT type, ci, cj, ck, ROUND(SUM(value * w) / SUM(w), 5) AS value, ROUND(sqrt(1 / SUM(w)), 5) AS estd FROM c2 GROUP BY type, ci, cj, ck")
+def superobs_subgrid_variance(spark, d):
+    return rounded(prep.superobs(prep.with_cells(_good(spark, d), 3), ["type", "ci", "cj", "ck"], subgrid=True).select("type", "ci", "cj", "ck", "value", "estd"), 5)
+
+
+@query(f"{_GOOD} SELECT type, ROUND(lon, 6) AS lon, ROUND(lat, 6) AS lat, ROUND(depth, 6) AS depth, MIN(id) AS id, ROUND(AVG(value), 6) AS value, ROUND(AVG(time), 6) AS time, ROUND(arg_min(estd, id), 6) AS estd, COUNT(*) AS nobs FROM good GROUP BY type, good.lon, good.lat, good.depth")
+def location_thinning(spark, d):
+    return prep.thinned(_good(spark, d), ["type", "lon", "lat", "depth"])
+
+
+@query(f"WITH {_OBS} SELECT id, type FROM (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS rn FROM obs) WHERE rn % 4 = 0")
+def every_nth_row(spark, d):
+    return prep.every_nth(sources.events(spark, d), "type", 4).select("id", "type")
+
+
+# grids ---------------------------------------------------------------------------------------------------------------
+
+_NODES = [-80.0, -60.0, -45.0, -30.0, -20.0, -10.0, 0.0, 10.0, 20.0, 30.0, 45.0, 60.0, 80.0]
+
+
+def _irregular_sql() -> str:
+    n = _NODES
+    edges = [n[0] - (n[1] - n[0]) / 2, *[(a + b) / 2 for a, b in zip(n, n[1:])], n[-1] + (n[-1] - n[-2]) / 2]  # noqa: B905
+    parts = [f"WHEN lat >= {edges[i]} AND lat < {n[i]} THEN {i} - 0.5::DOUBLE * ({n[i]} - lat) / {n[i] - edges[i]} WHEN lat >= {n[i]} AND lat < {edges[i + 1]} THEN {i} + 0.5::DOUBLE * (lat - {n[i]}) / {edges[i + 1] - n[i]}" for i in range(len(n))]
+    return f"WITH {_OBS} SELECT id, ROUND(CASE {' '.join(parts)} END, 6) AS fj FROM obs"
+
+
+@query(_irregular_sql())
+def irregular_axis(spark, d):
+    return sources.events(spark, d).select("id", M.irregular_index(F.col("lat"), _NODES).alias("fj"))
+
+
+@query(f"WITH {_OBS} SELECT id, {_r('fi', 'fj', 'fk', 'model_depth')}, numlevels FROM grid")
+def grid_mapping(spark, d):
+    return _obs(spark, d).select("id", "fi", "fj", "fk", "model_depth", "numlevels")
+
+
+@query(f"WITH {_OBS} SELECT id, ROUND(h * (20 * -0.5 + h * -0.3) / (20 + h), 6) AS z0, ROUND(h * (20 * -0.1 + h * -0.05) / (20 + h), 6) AS z1, ROUND(10 + 0.25 * (h - 10), 6) AS p0, ROUND(5 + 0.75 * (h - 10), 6) AS p1 FROM (SELECT id, model_depth + 1 AS h FROM grid WHERE model_depth IS NOT NULL)")
+def terrain_layers(spark, d):
+    h = F.col("model_depth") + 1
+    z, p = M.sigma_layers(h, [-0.5, -0.1], [-0.3, -0.05], 20.0), M.hybrid_layers(F.lit(10.0), h, [10.0, 5.0], [0.25, 0.75])
+    return _obs(spark, d).where("model_depth is not null").select("id", z[0].alias("z0"), z[1].alias("z1"), p[0].alias("p0"), p[1].alias("p1"))
+
+
+def _field(spark) -> DataFrame:
+    cells = spark.range(36 * 17).select((F.col("id") % 36).cast("int").alias("i"), F.floor(F.col("id") / 36).cast("int").alias("j"))
+    return cells.select("i", "j", (48.0 + 5.0 * ((F.col("i") + F.col("j")) % 7)).alias("v"), ((7 * F.col("i") + 3 * F.col("j")) % 5 > 0).alias("wet"))
+
+
+@query(_GOOD + """, c AS (SELECT id, CAST(floor(fi) AS INT) AS i0, CAST(floor(fj) AS INT) AS j0, fi - floor(fi) AS u, fj - floor(fj) AS v FROM good),
+ k AS (SELECT id, CAST(((i0 + di) % 36 + 36) % 36 AS INT) AS i, GREATEST(0, LEAST(16, j0 + dj)) AS j, (CASE WHEN di = 1 THEN u ELSE 1 - u END) * (CASE WHEN dj = 1 THEN v ELSE 1 - v END) AS wt FROM c, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj))
+ SELECT id, ROUND(SUM(wt * (48 + 5.0::DOUBLE * ((i + j) % 7))) / SUM(wt), 6) AS hx FROM k WHERE (7 * i + 3 * j) % 5 > 0 AND wt > 0 GROUP BY id""")
+def corner_interpolation(spark, d):
+    return spatial.interpolated(_good(spark, d), _field(spark), 36, 17)
+
+
+# ensembles -----------------------------------------------------------------------------------------------------------
+
+_MEAN = "list_sum(e) / 64"
+
+
+@query(f"{_ENS}, s AS (SELECT n, e, {_MEAN} AS mean FROM ens) SELECT n, ROUND(mean, 6) AS mean, ROUND(sqrt(list_sum(list_transform(e, lambda x: (x - mean) * (x - mean))) / 63), 6) AS obs_spread, ROUND(sqrt(GREATEST(list_sum(list_transform(e, lambda x: x * x)) / 64 - mean * mean, 0)), 4) AS field_spread FROM s", digits=6)
+def ensemble_spread(spark, d):
+    e = _ensemble(spark, d).withColumn("mean", M.mean_of(F.col("e")))
+    return e.select("n", "mean", F.sqrt(M.square_sum(M.anomalies(F.col("e"), F.col("mean"))) / 63).alias("obs_spread"), F.round(F.sqrt(F.greatest(M.square_sum(F.col("e")) / 64 - F.col("mean") * F.col("mean"), F.lit(0.0))), 4).alias("field_spread"))
+
+
+@query(f"{_ENS}, s AS (SELECT a.n, list_transform(a.e, lambda x: x - list_sum(a.e) / 64) AS p, list_transform(b.e, lambda x: x - list_sum(b.e) / 64) AS q FROM ens a JOIN ens b ON b.n = a.n % 17), z AS (SELECT n, list_dot_product(p, q) AS pq, list_dot_product(p, p) AS pp, list_dot_product(q, q) AS qq FROM s) SELECT n, ROUND(pq / sqrt(pp * qq), 6) AS corr, ROUND(pq / 63, 5) AS cov, ROUND(pq / qq, 6) AS sens FROM z")
+def vertical_statistics(spark, d):
+    e = _ensemble(spark, d)
+    centred = e.select("n", M.anomalies(F.col("e"), M.mean_of(F.col("e"))).alias("p"))
+    top = F.broadcast(centred.where("n < 17").select(F.col("n").alias("m"), F.col("p").alias("q")))  # 17 rows
+    both = centred.join(top, F.col("n") % 17 == F.col("m")).select("n", M.dot(F.col("p"), F.col("q")).alias("pq"), M.square_sum(F.col("p")).alias("pp"), M.square_sum(F.col("q")).alias("qq"))
+    return both.select("n", (F.col("pq") / F.sqrt(F.col("pp") * F.col("qq"))).alias("corr"), F.round(F.col("pq") / 63, 5).alias("cov"), (F.col("pq") / F.col("qq")).alias("sens"))
+
+
+@query(f"{_ENS} SELECT n, ROUND(list_sum(list_transform(e[1:48], lambda x: (x - md) * kd + md)) + list_sum(list_transform(e[49:64], lambda x: (x - 48) * ks + md)), 4) AS total FROM (SELECT n, e, list_sum(e[1:48]) / 48 AS md, sqrt(63 / 47.0::DOUBLE) AS kd, sqrt(0.5 * 63 / 15.0::DOUBLE) AS ks FROM ens)")
+def hybrid_merge(spark, d):
+    kd, ks = (63 / 47) ** 0.5, (0.5 * 63 / 15) ** 0.5
+    e = _ensemble(spark, d).select("n", F.slice("e", 1, 48).alias("dyn"), F.slice("e", 49, 16).alias("stat")).withColumn("md", M.mean_of(F.col("dyn")))
+    merged = F.concat(F.transform("dyn", lambda x: (x - F.col("md")) * kd + F.col("md")), F.transform("stat", lambda x: (x - 48) * ks + F.col("md")))
+    return e.select("n", F.round(F.aggregate(merged, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(f"{_ENS} SELECT n, ROUND(48 + 5.0::DOUBLE * (n % 7) + list_sum(list_transform(range(1, 65), lambda i: (e[i] - m) * (i - 32) / 1000.0::DOUBLE)), 5) AS analysis FROM (SELECT n, e, list_sum(e) / 64 AS m FROM ens)")
+def enoi_update(spark, d):
+    e = _ensemble(spark, d).withColumn("m", M.mean_of(F.col("e")))
+    w = F.transform(F.sequence(F.lit(1), F.lit(MEMBERS)), lambda i: (i - 32) / F.lit(1000.0))
+    return e.select("n", F.round(48 + 5.0 * (F.col("n") % 7) + M.dot(M.anomalies(F.col("e"), F.col("m")), w), 5).alias("analysis"))
+
+
+@query(f"{_ENS}, s AS (SELECT n, list_sum(list_transform(e, lambda x: (x - list_sum(e) / 64) * (x - list_sum(e) / 64))) AS v FROM ens) SELECT n, ROUND(LEAST(1.1, 0.5 * sqrt(v / (v * (0.5 + (n % 5) / 10.0::DOUBLE))) + 0.5), 6) AS inflation FROM s")
+def capped_inflation(spark, d):
+    e = _ensemble(spark, d).select("n", M.square_sum(M.anomalies(F.col("e"), M.mean_of(F.col("e")))).alias("v"))
+    return e.select("n", M.capped_inflation(1.1, 0.5, F.col("v"), F.col("v") * (0.5 + (F.col("n") % 5) / 10)).alias("inflation"))
+
+
+# innovations and reports ------------------------------------------------------------------------------------------------
+
+
+@query(f"{_INN} SELECT id, ROUND(inn, 6) AS inn, ROUND(sqrt(sqrt((9 + estd * estd) * (9 + estd * estd) + 9 * inn * inn / 4) - 9), 6) AS estd_new, ROUND(inn / (estd * sqrt(2.0) * sqrt(63.0)), 6) AS s FROM inn")
+def moderated_errors(spark, d):
+    e = M.moderated(F.col("estd"), F.lit(3.0), F.col("inn"), 2.0)
+    return _with_inn(spark, d).select("id", "inn", e.alias("estd_new"), (F.col("inn") / (F.col("estd") * F.sqrt(F.lit(2.0)) * F.sqrt(F.lit(63.0)))).alias("s"))
+
+
+@query(f"{_INN} SELECT type, file, batch, COUNT(*) AS n, ROUND(AVG(abs(inn)) + 1e-9, 6) AS mad, ROUND(AVG(inn) + 1e-9, 6) AS bias FROM inn GROUP BY ALL")
+def batch_statistics(spark, d):
+    return _decided(prep.batch_stats(_with_inn(spark, d)))
+
+
+@query(f"{_INN}, b AS (SELECT type, file, batch FROM inn GROUP BY ALL HAVING COUNT(*) >= 3 AND (abs(AVG(inn)) >= 20 OR AVG(abs(inn)) >= 30)) SELECT inn.id, CASE WHEN b.type IS NULL THEN 'OK' ELSE 'BADBATCH' END AS status FROM inn LEFT JOIN b USING (type, file, batch)")
+def bad_batches(spark, d):
+    obs = _with_inn(spark, d)
+    return prep.marked_bad(obs, prep.bad_batches(prep.batch_stats(obs), 20.0, 30.0, 3)).select("id", "status")
+
+
+@query(f"{_INN} SELECT type, COUNT(DISTINCT (file, batch)) AS batches FROM inn GROUP BY type")
+def distinct_batches(spark, d):
+    return _with_inn(spark, d).groupBy("type").agg(F.countDistinct("file", "batch").alias("batches"))
+
+
+_REGION_SQL = "(VALUES " + ", ".join(f"('{r[0]}', {r[1]}::DOUBLE, {r[2]}::DOUBLE, {r[3]}::DOUBLE, {r[4]}::DOUBLE)" for r in REGIONS) + ") r(region, lo, hi, s, t)"
+
+
+def _stats_sql() -> str:
+    return f"""{_INN}, m AS (SELECT region, inn.*, CAST(floor(time + 0.5) AS INT) AS slot FROM inn JOIN {_REGION_SQL} ON lat BETWEEN s AND t AND lon >= lo AND lon <= hi)
+ SELECT region, type, slot, instrument, COUNT(*) AS n, ROUND(AVG(abs(inn)) + 1e-9, 6) AS mad, ROUND(AVG(inn) + 1e-9, 6) AS bias, ROUND(sqrt(AVG(inn * inn)) + 1e-9, 6) AS rmsd, ROUND(AVG(estd) + 1e-9, 6) AS estd FROM m
+ GROUP BY GROUPING SETS ((region, type), (region, type, slot), (region, type, instrument))"""
+
+
+@query(_stats_sql())
+def forecast_stats(spark, d):
+    """The report by region and type, each also by time slot and by instrument, in one pass."""
+    regions = _small(spark, REGIONS, "region string, lo double, hi double, s double, t double")
+    met = _with_inn(spark, d).withColumn("slot", M.slot(F.col("time"), 1.0)).join(regions, F.col("lat").between(F.col("s"), F.col("t")) & F.col("lon").between(F.col("lo"), F.col("hi")))
+    sets = [[F.col("region"), F.col("type")], [F.col("region"), F.col("type"), F.col("slot")], [F.col("region"), F.col("type"), F.col("instrument")]]
+    return _decided(met.groupingSets(sets, "region", "type", "slot", "instrument").agg(F.count("*").alias("n"), F.avg(F.abs("inn")).alias("mad"), F.avg("inn").alias("bias"), F.sqrt(F.avg(F.col("inn") * F.col("inn"))).alias("rmsd"), F.avg("estd").alias("estd")))
+
+
+_LAYER_SQL = "(VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in LAYERS) + ") z(layer, z1, z2)"
+
+
+@query(f"{_INN} SELECT type, layer, COUNT(*) AS n, ROUND(AVG(abs(inn)) + 1e-9, 6) AS mad, ROUND(AVG(inn) + 1e-9, 6) AS bias FROM inn JOIN {_LAYER_SQL} ON depth >= z1 AND depth < z2 GROUP BY type, layer")
+def stats_by_depth(spark, d):
+    layers = _small(spark, LAYERS, "layer string, z1 double, z2 double")
+    return _decided(_with_inn(spark, d).join(layers, (F.col("depth") >= F.col("z1")) & (F.col("depth") < F.col("z2"))).groupBy("type", "layer").agg(F.count("*").alias("n"), F.avg(F.abs("inn")).alias("mad"), F.avg("inn").alias("bias")))
+
+
+# local analyses -----------------------------------------------------------------------------------------------------------
+
+RADIUS = 1200.0
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    return spatial.with_xyz(spark.range(12 * 6).select(F.col("id").cast("int").alias("node"), (5.0 + 30 * (F.col("id") % 12)).alias("lon"), (-75.0 + 30 * F.floor(F.col("id") / 12)).alias("lat")))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    obs = spatial.with_xyz(_with_inn(spark, d).select("id", "type", "lon", "lat", "inn", "estd")).drop("lon", "lat")
+    return spatial.within(_nodes(spark), obs, RADIUS).withColumn("coeff", M.multi_taper(F.col("d"), (RADIUS, RADIUS / 2), (0.7, 0.3)))
+
+
+def _xyz_sql(lon: str, lat: str, p: str) -> str:
+    return f"6371.0::DOUBLE * cos(radians({lon})) * cos(radians({lat})) AS {p}x, 6371.0::DOUBLE * sin(radians({lon})) * cos(radians({lat})) AS {p}y, 6371.0::DOUBLE * sin(radians({lat})) AS {p}z"
+
+
+def _taper_sql(radius: float) -> str:
+    x = f"(d * 2 / {radius}::DOUBLE)"
+    return f"(CASE WHEN {x} < 1 THEN 1 + {x}*{x}*(-5/3.0::DOUBLE + {x}*(0.625::DOUBLE + {x}*(0.5::DOUBLE - {x}*0.25::DOUBLE))) WHEN {x} < 2 THEN 4 - 5*{x} + {x}*{x}*(5/3.0::DOUBLE + {x}*(0.625::DOUBLE + {x}*(-0.5::DOUBLE + {x}/12))) - 2/(3*{x}) ELSE 0 END)"
+
+
+_PAIRS = f"""{_INN}, nodes AS (SELECT node, {_xyz_sql('nlon', 'nlat', 'n')} FROM (SELECT CAST(i AS INT) AS node, 5.0::DOUBLE + 30 * (i % 12) AS nlon, -75.0::DOUBLE + 30 * (i // 12) AS nlat FROM range(72) t(i))),
+ o AS (SELECT id, type, inn, estd, {_xyz_sql('lon', 'lat', '')} FROM inn), p0 AS (SELECT node, id, type, inn, estd, sqrt((nx-x)*(nx-x) + (ny-y)*(ny-y) + (nz-z)*(nz-z)) AS d FROM nodes, o),
+ pairs AS (SELECT *, 0.7::DOUBLE * {_taper_sql(RADIUS)} + 0.3::DOUBLE * (CASE WHEN d <= {RADIUS / 2} THEN {_taper_sql(RADIUS / 2)} ELSE 0 END) AS coeff FROM p0 WHERE d <= {RADIUS})"""
+
+
+@query(f"{_PAIRS} SELECT node, id, ROUND(d, 5) AS d, ROUND(coeff, 6) AS coeff FROM pairs")
+def range_join(spark, d):
+    return _pairs(spark, d).select("node", "id", F.round("d", 5).alias("d"), "coeff")
+
+
+@query(f"{_PAIRS} SELECT node, type, id, CAST(rn AS INT) AS place FROM (SELECT node, type, id, row_number() OVER (PARTITION BY node, type ORDER BY d, id) AS rn FROM pairs) WHERE rn <= 5")
+def nearest_per_type(spark, d):
+    return spatial.nearest(_pairs(spark, d), 5).select("node", "type", "id", "place")
+
+
+@query(f"{_PAIRS}, c AS (SELECT node, COUNT(*) AS n, SUM(coeff) AS s FROM pairs GROUP BY node) SELECT nodes.node, COALESCE(n, 0) AS nlobs, ROUND(COALESCE(s, 0), 5) AS weight FROM nodes LEFT JOIN c USING (node)")
+def local_counts(spark, d):
+    counted = _pairs(spark, d).groupBy("node").agg(F.count("*").alias("n"), F.sum("coeff").alias("s"))
+    return _nodes(spark).select("node").join(counted, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("nlobs"), F.round(F.coalesce("s", F.lit(0.0)), 5).alias("weight"))
+
+
+_ONE = f"{_ENS}, s AS (SELECT n, list_transform(e, lambda x: (x - list_sum(e) / 64) / (20 * sqrt(63.0::DOUBLE))) AS s, (n % 13 - 6) / 10.0::DOUBLE AS inn FROM ens), q AS (SELECT *, list_dot_product(s, s) AS q FROM s)"
+
+
+@query(f"{_ONE} SELECT CAST(n AS INT) AS node, ROUND(q / (1 + q), 6) AS dfs, ROUND(sqrt(1 + q) - 1, 6) AS srf, ROUND(s[1] / (1 + q) * inn, 6) AS w1, ROUND(1 - s[1] * s[1] / (2 * (1 + q)), 6) AS t11, ROUND(-s[1] * s[2] / (2 * (1 + q)), 6) AS t12 FROM q")
+def single_observation_denkf(spark, d):
+    return _single(spark, d, "DENKF")
+
+
+@query(f"{_ONE} SELECT CAST(n AS INT) AS node, ROUND(q / (1 + q), 6) AS dfs, ROUND(sqrt(1 + q) - 1, 6) AS srf, ROUND(s[1] / (1 + q) * inn, 6) AS w1, ROUND(1 - s[1] * s[1] / (1 + q + sqrt(1 + q)), 6) AS t11, ROUND(-s[1] * s[2] / (1 + q + sqrt(1 + q)), 6) AS t12 FROM q")
+def single_observation_etkf(spark, d):
+    return _single(spark, d, "ETKF")
+
+
+def _standardised(e: Column, estd: float) -> Column:
+    return F.transform(M.anomalies(e, M.mean_of(e)), lambda x: x / (estd * 63**0.5))
+
+
+def _single(spark: SparkSession, d: str, scheme: str) -> DataFrame:
+    rows = _ensemble(spark, d).select(F.col("n").cast("int").alias("node"), F.lit(1).alias("id"), F.lit(1.0).alias("coeff"), _standardised(F.col("e"), 20.0).alias("s"), ((F.col("n") % 13 - 6) / 10).alias("inn"))
+    return kernel.local_analyses(rows, scheme).select("node", "dfs", "srf", F.col("w")[0].alias("w1"), F.col("t")[0].alias("t11"), F.col("t")[1].alias("t12"))
+
+
+def _local_input(spark: SparkSession, d: str) -> DataFrame:
+    ens = _ensemble(spark, d).select("n", _standardised(F.col("e"), 20.0).alias("s"))
+    size = ens.count()
+    return _pairs(spark, d).withColumn("n", F.col("id") % size).join(ens, "n").select("node", "id", "coeff", "s", (F.col("inn") / (20.0 * 63**0.5)).alias("inn"))
+
+
+@query()
+def local_transforms(spark, d):
+    """Every node's analysis; those without observations keep their ensemble."""
+    solved = kernel.with_defaults(_nodes(spark), kernel.local_analyses(_local_input(spark, d)), MEMBERS)
+    return solved.select("node", "nlobs", "dfs", "srf", F.col("w")[0].alias("w1"), F.col("t")[0].alias("t11"))
+
+
+@query()
+def state_update(spark, d):
+    """Analysed state: each node's members moved by its transform."""
+    solved = kernel.with_defaults(_nodes(spark), kernel.local_analyses(_local_input(spark, d)), MEMBERS)
+    state = _ensemble(spark, d).withColumn("node", (F.col("n") % 72).cast("int")).join(solved.select("node", "w", "t"), "node")
+    a = kernel.updated(state, MEMBERS)
+    return a.select("n", "node", M.mean_of(F.col("e")).alias("mean_f"), M.mean_of(F.col("a")).alias("mean_a"), F.sqrt(M.square_sum(M.anomalies(F.col("a"), M.mean_of(F.col("a")))) / 63).alias("spread_a"))
+
+
+@query("SELECT CAST(k AS INT) AS k, ROUND(CASE WHEN u < -1 THEN 1 WHEN u > 1 THEN 0 ELSE (cos((u + 1) * pi() / 2) + 1) / 2 END, 6) AS weight FROM (SELECT k, (k * 5.0::DOUBLE / 100 - 1) / 0.1::DOUBLE AS u FROM range(40) t(k))")
+def mixed_layer_taper(spark, d):
+    return spark.range(40).select(F.col("id").cast("int").alias("k"), M.surface_weight(F.lit(100.0), F.col("id") * 5.0).alias("weight"))
+
+
+@query("WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id, k, abs(v - first_value(v) OVER o) AS dv, lag(v) OVER o AS pv, v, first_value(v) OVER o AS sv FROM p WINDOW o AS (PARTITION BY vec_id ORDER BY k)), f AS (SELECT vec_id, MIN(k) AS k FROM q WHERE dv >= 0.1 GROUP BY vec_id) SELECT f.vec_id AS n, ROUND(f.k - 1 + (0.1 - abs(q.pv - q.sv)) / abs(q.v - q.pv), 6) AS mld FROM f JOIN q ON q.vec_id = f.vec_id AND q.k = f.k")
+def mixed_layer_depth(spark, d):
+    """The first place in a profile that differs from the surface by a threshold."""
+    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("n"), v.alias("v"))
+    first = F.array_position(F.transform("v", lambda x: F.abs(x - F.col("v")[0]) >= 0.1), F.lit(True)).cast("int") - 1
+    rows = rows.withColumn("k", first).where("k > 0")
+    before, here, top = F.element_at("v", F.col("k")), F.element_at("v", F.col("k") + 1), F.col("v")[0]
+    return rows.select("n", (F.col("k") - 1 + (0.1 - F.abs(before - top)) / F.abs(here - before)).alias("mld"))
+
+
+@query(f"{_ENS} SELECT CAST(n // 10 AS BIGINT) AS column_id, ROUND(SUM(list_sum(e)), 3) AS vertsum, ROUND(SUM(list_sum(e) * (1 + n % 10)) / SUM(1 + n % 10), 4) AS vertwavg FROM ens GROUP BY 1")
+def vertical_sums(spark, d):
+    s = _ensemble(spark, d).select(F.floor(F.col("n") / 10).alias("column_id"), (1 + F.col("n") % 10).alias("w"), F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("v"))
+    return s.groupBy("column_id").agg(F.round(F.sum("v"), 3).alias("vertsum"), F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 4).alias("vertwavg"))
