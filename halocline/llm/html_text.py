@@ -247,7 +247,8 @@ def _whole_blocks(page: Page, first: int, last: int) -> tuple[int, int]:
 
 
 def main_texts(pages: DataFrame, weights: dict[str, float], column: str = "html") -> DataFrame:
-    """pages with text; every column passes through."""
+    """pages with text, in place of any column of that name; every other column passes through."""
+    pages = pages.drop("text")
     shared = pages.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
 

@@ -99,15 +99,16 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return LanguageModel(languages, logp, prior, p)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score in front of what the caller selects; every column passes through."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two more columns, in place of any of their names; every other column passes through."""
     spark = docs.sparkSession
+    docs = docs.drop(*names)
     shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def score(batches):
         m = shared.value
-        p, names = m.parameters, np.array([*m.languages, UNDETERMINED], object)
+        p, languages = m.parameters, np.array([*m.languages, UNDETERMINED], object)
         for part, texts in slices(batches, text):
             owner, found = _buckets(texts, p)
             letters = np.bincount(owner, minlength=len(texts))
@@ -122,7 +123,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 e = np.exp(scaled - scaled.max(1, keepdims=True))
                 best[have] = scaled.argmax(1)
                 sure[have] = e.max(1) / e.sum(1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(sure)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(languages[best], pa.string()), pa.array(sure)], names=[f.name for f in schema])
 
     return docs.mapInArrow(score, schema)
 

@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:
-    """docs with a score from 0 to 1; every column passes through."""
+    """docs with a score from 0 to 1, in place of any column of that name; every other column passes through."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
