@@ -16,8 +16,8 @@ from halocline.llm.common import written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts of no language: null ones and those without a letter. Others keep or are given their language."""
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = language_id.identify(docs, model, names=("__lang", "__sure")).where(F.col("__lang") != language_id.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
