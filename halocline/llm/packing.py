@@ -40,7 +40,7 @@ class PackingParameters:
     query_terms: int = 24
     k1: float = 1.2
     b: float = 0.75
-    remembered_words: int = 300_000
+    remembered_words: int = 800_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,19 +61,38 @@ class Encoder:
         self.end, self.known = p.end, {}
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
+        # the tokenizer lowers case itself; only its special tokens, which begin with <|, tell cases apart
+        split = [(x if b"<|" in x else x.lower()).split() for x in ((t or "").encode() for t in texts)]
+        new = {w for words in split for w in words} - self.known.keys()
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
+            new = {w for words in split for w in words}
+        # a last comma or full stop after a letter or digit is a token of its own
+        marked = {w for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalnum()}
+        cores = list(({w[:-1] for w in marked} | {b",", b"."} | (new - marked)) - self.known.keys())
+        for at in range(0, len(cores), 500):
+            self._learn(cores[at : at + 500])
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
         get = self.known.__getitem__
         return [np.fromiter(chain(chain.from_iterable(map(get, words)), (self.end,)), np.uint32) for words in split]
 
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes words: those of letters alone, each of which the tokenizer keeps whole, in one go."""
+        plain = [w for w in words if w.isalpha() or w.decode().isalpha()]
+        e = self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False)
+        of = e.word_ids
+        if plain and of[-1] == len(plain) - 1:
+            at = np.searchsorted(of, np.arange(len(plain) + 1))
+            ids, at = e.ids, at.tolist()
+            for w, a, b in zip(plain, at, at[1:], strict=False):
+                self.known[w] = tuple(ids[a:b])
+            words = [w for w in words if w not in self.known]
+        for w in words:
+            self.known[w] = tuple(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
+
+
 def tokenised(docs: DataFrame, p: PackingParameters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, sig_a, sig_b (the two largest ids: the rarest by the vocabulary's order), n, ids as 16 or 32 bits each."""
 
