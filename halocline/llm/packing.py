@@ -16,6 +16,7 @@ rows.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -28,6 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, written
 
+# a last comma or full stop after a letter or digit is a token of its own; letters: those of ASCII, and of Latin-1 in lower case
+_MARKED = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf])[,.]$")
+# words of printable ASCII without upper case, and without < that may begin a special token
+_ASCII = re.compile(rb"[!-;=-@\[-`a-z{-~]+")
+# the tokenizer's own rule for what is encoded apart (fixed values), for such words
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -51,46 +58,91 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Numbers words in the order of their first look-up and lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Token ids of texts; words between ASCII white space, which no token crosses, are encoded once and remembered."""
 
     def __init__(self, p: PackingParameters):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(tokenizer_path(p.tokenizer)), p.remembered_words
-        self.end, self.known = p.end, {}
+        self.tokenizer, self.most, self.end = Tokenizer.from_file(tokenizer_path(p.tokenizer)), p.remembered_words, p.end
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the end-of-document id is known, as the word that no text has: number 0."""
+        self.numbers = _Numbers()
+        self.numbers[b""] = 0
+        self.ids, self.first, self.length = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         # the tokenizer lowers case itself; only its special tokens, which begin with <|, tell cases apart
-        split = [(x if b"<|" in x else x.lower()).split() for x in ((t or "").encode() for t in texts)]
-        new = {w for words in split for w in words} - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        # a last comma or full stop after a letter or digit is a token of its own
-        marked = {w for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalnum()}
-        cores = list(({w[:-1] for w in marked} | {b",", b"."} | (new - marked)) - self.known.keys())
-        for at in range(0, len(cores), 500):
-            self._learn(cores[at : at + 500])
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
-        get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, words)), (self.end,)), np.uint32) for words in split]
-
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes words: those of letters alone, each of which the tokenizer keeps whole, in one go."""
-        plain = [w for w in words if w.isalpha() or w.decode().isalpha()]
-        e = self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False)
-        of = e.word_ids
-        if plain and of[-1] == len(plain) - 1:
-            at = np.searchsorted(of, np.arange(len(plain) + 1))
-            ids, at = e.ids, at.tolist()
-            for w, a, b in zip(plain, at, at[1:], strict=False):
-                self.known[w] = tuple(ids[a:b])
-            words = [w for w in words if w not in self.known]
-        for w in words:
-            self.known[w] = tuple(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
+        split = [[*(x if b"<|" in x else x.lower()).split(), b""] for x in ((t or "").encode() for t in texts)]
+        if not split:
+            return []
+        if len(self.numbers) > self.most:
+            self._forget()
+        sizes = np.array([len(words) for words in split])
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        self._learn()
+        length = self.length[numbers]
+        ends = np.cumsum(length)
+        out = self.ids[np.repeat(self.first[numbers] - (ends - length), length) + np.arange(ends[-1])]
+        return np.split(out, ends[np.cumsum(sizes) - 1][:-1])
+
+    def _learn(self) -> None:
+        """Encodes the new words and appends their ids."""
+        numbers, base = self.numbers, len(self.first)
+        marked = [(i, numbers[w[:-1]], numbers[w[-1:]]) for i, w in enumerate(list(numbers.new)) if _MARKED.search(w)]
+        found: list = [None] * len(numbers.new)
+        rest = self._encode(numbers.new, {i for i, *_ in marked}, found)
+        for i in rest:
+            found[i] = self.tokenizer.encode(numbers.new[i].decode(), add_special_tokens=False).ids
+        for i, core, mark in marked:
+            found[i] = [x for n in (core, mark) for x in (found[n - base] if n >= base else self.ids[self.first[n] : self.first[n] + self.length[n]].tolist())]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
+        numbers.new.clear()
+
+    def _encode(self, words: list[bytes], skip: set[int], found: list) -> list[int]:
+        """Sets the ids of most words, but for those to skip, and returns the places of those left."""
+        tokenize, letters, rest = self.tokenizer.model.tokenize, [], []
+        for i, w in enumerate(words):
+            if i in skip:
+                continue
+            if _ASCII.fullmatch(w):
+                # normalising does not change these, and the model alone is left to apply to each piece
+                pieces = [w] if w.isalpha() else _PIECE.findall(w)
+                found[i] = [t.id for x in pieces for t in tokenize(x.decode())]
+            elif w.decode().isalpha():
+                letters.append(i)
+            else:
+                rest.append(i)
+        for at in range(0, len(letters), 500):
+            # the tokenizer keeps each of these whole, so they can go together
+            part = letters[at : at + 500]
+            e = self.tokenizer.encode(b" ".join([words[i] for i in part]).decode(), add_special_tokens=False)
+            of, ids = e.word_ids, e.ids
+            if of[-1] != len(part) - 1:
+                rest += part
+                continue
+            cut = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
+            for i, x, y in zip(part, cut, cut[1:], strict=False):
+                found[i] = ids[x:y]
+        return rest
 
 
 def tokenised(docs: DataFrame, p: PackingParameters, key: str = "doc_id", text: str = "text") -> DataFrame:
