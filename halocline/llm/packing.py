@@ -31,10 +31,12 @@ from .common import slices, table, written
 
 # a last comma or full stop after a letter or digit is a token of its own; letters: those of ASCII, and of Latin-1 in lower case
 _MARKED = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf])[,.]$")
-# words of printable ASCII without upper case, and without < that may begin a special token
-_ASCII = re.compile(rb"[!-;=-@\[-`a-z{-~]+")
+# words of printable ASCII and such letters, without upper case, and without < that may begin a special token
+_SIMPLE = re.compile(rb"(?:[!-;=-@\[-`a-z{-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 # the tokenizer's own rule for what is encoded apart (fixed values), for such words
-_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[^a-z0-9\xc3]+")
+# the characters by which byte-level models know bytes that do not print: from 256 on, in order
+_SHOWN = {byte: 256 + n for n, byte in enumerate([*range(33), *range(127, 161), 173])}
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -96,25 +98,32 @@ class Encoder:
         sizes = np.array([len(words) for words in split])
         numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         self._learn()
+        ids, ends = self._of(numbers)
+        return np.split(ids, ends[np.cumsum(sizes) - 1][:-1])
+
+    def _of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a sequence of words, and where each word's end."""
         length = self.length[numbers]
         ends = np.cumsum(length)
-        out = self.ids[np.repeat(self.first[numbers] - (ends - length), length) + np.arange(ends[-1])]
-        return np.split(out, ends[np.cumsum(sizes) - 1][:-1])
+        return self.ids[np.repeat(self.first[numbers] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def _learn(self) -> None:
-        """Encodes the new words and appends their ids."""
+        """Encodes the new words and appends their ids: first those of words apart, then those of marked ones."""
         numbers, base = self.numbers, len(self.first)
-        marked = [(i, numbers[w[:-1]], numbers[w[-1:]]) for i, w in enumerate(list(numbers.new)) if _MARKED.search(w)]
-        found: list = [None] * len(numbers.new)
-        rest = self._encode(numbers.new, {i for i, *_ in marked}, found)
-        for i in rest:
+        marked = [i for i, w in enumerate(numbers.new) if w.endswith((b",", b".")) and _MARKED.search(w)]
+        pairs = np.fromiter((numbers[part] for w in [numbers.new[i] for i in marked] for part in (w[:-1], w[-1:])), np.int64, 2 * len(marked))
+        found: list = [()] * len(numbers.new)
+        for i in self._encode(numbers.new, set(marked), found):
             found[i] = self.tokenizer.encode(numbers.new[i].decode(), add_special_tokens=False).ids
-        for i, core, mark in marked:
-            found[i] = [x for n in (core, mark) for x in (found[n - base] if n >= base else self.ids[self.first[n] : self.first[n] + self.length[n]].tolist())]
         length = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
+        ids, ends = self._of(pairs)
+        at, ends = np.array(marked, np.int64) + base, ends[1::2]
+        self.length[at] = np.diff(ends, prepend=0)
+        self.first[at] = len(self.ids) + ends - self.length[at]
+        self.ids = np.concatenate([self.ids, ids])
         numbers.new.clear()
 
     def _encode(self, words: list[bytes], skip: set[int], found: list) -> list[int]:
@@ -123,10 +132,11 @@ class Encoder:
         for i, w in enumerate(words):
             if i in skip:
                 continue
-            if _ASCII.fullmatch(w):
-                # normalising does not change these, and the model alone is left to apply to each piece
-                pieces = [w] if w.isalpha() else _PIECE.findall(w)
-                found[i] = [t.id for x in pieces for t in tokenize(x.decode())]
+            # normalising changes neither of these, and the model alone is left to apply to each piece
+            if w.isalpha() and w.islower():
+                found[i] = [t.id for t in tokenize(w.decode())]
+            elif _SIMPLE.fullmatch(w):
+                found[i] = [t.id for x in _PIECE.findall(w) for t in tokenize(x.decode("latin-1").translate(_SHOWN))]
             elif w.decode().isalpha():
                 letters.append(i)
             else:
@@ -145,6 +155,13 @@ class Encoder:
         return rest
 
 
+def _largest(ids: np.ndarray) -> tuple[int, int]:
+    """The largest id and the next one, or the same one twice."""
+    most = ids.max()
+    rest = ids[ids != most]
+    return int(most), int(rest.max() if len(rest) else most)
+
+
 def tokenised(docs: DataFrame, p: PackingParameters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, sig_a, sig_b (the two largest ids: the rarest by the vocabulary's order), n, ids as 16 or 32 bits each."""
 
@@ -154,9 +171,9 @@ def tokenised(docs: DataFrame, p: PackingParameters, key: str = "doc_id", text:
             encode = encode or Encoder(p)
             ids = encode(texts)
             small = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-            top = [np.unique(x)[-2:] for x in ids]
+            top = [_largest(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([int(x[-1]) for x in top], pa.int32()), pa.array([int(x[0]) for x in top], pa.int32()), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.astype(small).tobytes() for x in ids], pa.binary())],
+                [part.column("doc_id"), pa.array([a for a, _ in top], pa.int32()), pa.array([b for _, b in top], pa.int32()), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.astype(small).tobytes() for x in ids], pa.binary())],
                 names=["doc_id", "sig_a", "sig_b", "n", "ids"],
             )
 
@@ -171,13 +188,14 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     """Over all documents, how many have each id; as long as the vocabulary."""
 
     def count(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total, place = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         for batch in batches:
             for data, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                have = np.unique(_ids(data, n))
-                if have[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(have[-1]) + 1 - len(total), np.int64)])
-                total[have] += 1
+                ids, at = _ids(data, n), np.arange(n)
+                if (most := int(ids.max())) >= len(total):
+                    total, place = (np.concatenate([x, np.zeros(most + 1 - len(x), np.int64)]) for x in (total, place))
+                place[ids] = at
+                total[ids[place[ids] == at]] += 1  # one place of each distinct id
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": at, "df": total[at]})
 
@@ -192,10 +210,13 @@ class Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, p: PackingParameters):
         self.p = p
-        counted = [np.unique(x, return_counts=True) for x in docs]
-        sizes = np.array([len(t) for t, _ in counted])
-        terms, tf = np.concatenate([t for t, _ in counted]).astype(np.int64), np.concatenate([c for _, c in counted])
-        owner, length = np.repeat(np.arange(len(docs)), sizes), np.array([len(x) for x in docs])
+        length = np.array([len(x) for x in docs])
+        pairs = np.repeat(np.arange(len(docs)) << 32, length) | np.concatenate(docs)
+        pairs.sort()
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        tf, pairs = np.diff(first, append=len(pairs)), pairs[first]
+        terms, owner = pairs & 0xFFFFFFFF, pairs >> 32
+        sizes = np.bincount(owner, minlength=len(docs))
         weight = (idf[terms] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length[owner] / mean))).astype(np.float32)
         order = np.argsort(terms, kind="stable")
         self.owner, self.weight = owner[order].astype(np.int32), weight[order]
