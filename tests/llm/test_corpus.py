@@ -105,6 +105,22 @@ def test_neighbours(spark):
     assert neighbours.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_encoder_agrees_with_the_tokenizer():
+    texts = [
+        "naïve, señor. über$$$ à l'été. ÿ, ßa, íñ÷ ÷a ÀÉ, éa\u0301. x\u00adé déjà-vu éàíïð×þ 12é4",
+        "İ, İ. é, É, ÷, a÷, ß. abc<|endoftext|>def, X<|ENDOFTEXT|>, <|startoftext|>",
+        "don't we'll 's ,.. ..., a., b,. it's. 12,3. x\x1cy\x00z \x85 \xa0a क़, ﬁ, é, \u0301, 😀, A😀. ẞ. ŉ, ǅ, 中文。",
+        "", None, "  ", "a", ", .", "can't, CAN'T. '' 's, _x_ __, x_", "¹², ½. Ⅷ, ١٢.",
+    ]
+    encode = packing.Encoder(packing.PackingParameters(remembered_words=20))
+    whole = [[*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for _ in range(2):  # new, then known
+        assert [x.tolist() for x in encode(texts)] == whole
+    for t, ids in zip(texts, whole, strict=True):  # forgetting in between
+        assert encode([t])[0].tolist() == ids
+    assert encode([]) == []
+
+
 def test_packing_round_trip(odd, empty):
     from tokenizers import Tokenizer
 
