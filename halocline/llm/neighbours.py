@@ -2,7 +2,9 @@
 
 Vectors are lengthened by one coordinate that gives all the same norm, so the largest inner product is the smallest
 distance, and turned by a random rotation. k-means on a bounded sample gives the lists; every vector goes to one.
-A query probes the nearest lists. Within a list, vectors lie in blocks of columns: after each block, a hypothesis
+A query probes the nearest lists, as many as it takes: a sample of the queries is answered by brute force over all
+vectors, and the lists that hold their true neighbours tell how many must be probed for the recall asked for (all, if
+need be, as for isotropic vectors of many dimensions). Within a list, vectors lie in blocks of columns: after each block, a hypothesis
 test on the partial distance abandons the candidates that can hardly be among the nearest, and only the rest are read
 further. Survivors' inner products are computed in double precision on the original vectors.
 
@@ -34,7 +36,9 @@ class NeighbourParameters:
     sample_rows: int = 32768  # the bound on rows that the index is fitted on
     rows_per_list: int = 256
     max_lists: int = 1024
-    probes: int = 24
+    probes: int = 24  # lists probed at least
+    recall: float = 0.95  # of the true neighbours, those that the probed lists must hold
+    tried: int = 256  # queries answered by brute force to measure it
     chunk_rows: int = 4096
     block: int = 8  # columns in a block
     epsilon: float = 2.1  # of the hypothesis test: larger abandons less
@@ -117,6 +121,49 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def probes_needed(placed: DataFrame, asked: DataFrame, index: Index, p: NeighbourParameters) -> int:
+    """The least number of nearest lists that hold p.recall of the true neighbours, by two standard errors, of at most p.tried queries.
+
+    placed: id, v, list; asked: id, v. All vectors are read; k rows a query reach the driver.
+    """
+    lists = len(index.centroids)
+    if lists <= p.probes:
+        return lists
+    tried = asked.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.tried).toArrow().combine_chunks().to_batches()
+    if not tried:
+        return p.probes
+    ids, q = tried[0].column("id").to_numpy(), _matrix(tried[0], "v")
+    shared = placed.sparkSession.sparkContext.broadcast((ids, q))
+
+    def nearest(batches):
+        ids, q = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("id").to_numpy()
+                scores = q @ _matrix(batch, "v").T
+                scores[ids[:, None] == own] = -np.inf
+                n = min(p.k, batch.num_rows)
+                at = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                found = np.take_along_axis(scores, at, 1).ravel()
+                use = np.flatnonzero(found > -np.inf)
+                at, of = at.ravel()[use], np.repeat(np.arange(len(q)), n)[use]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(own[at]), batch.column("list").take(pa.array(at)), pa.array(found[use])], names=["q", "id", "list", "score"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    true = placed.mapInArrow(nearest, "q int, id long, list int, score double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.k).select("q", "list").toArrow()  # k rows for each of p.tried
+    of, held = true.column("q").to_numpy(), true.column("list").to_numpy()
+    if not len(of):
+        return p.probes
+    place = np.argsort(np.argsort(index.distances(index.place_query(q)), axis=1, kind="stable"), axis=1)
+    have = np.bincount(of, minlength=len(q))
+    # by[i, n]: the share of query i's true neighbours in its n + 1 nearest lists
+    by = np.zeros((len(q), lists))
+    np.add.at(by, (of, place[of, held]), 1)
+    by = by[have > 0].cumsum(1) / have[have > 0, None]
+    sure = by.mean(0) - 2 * by.std(0) / math.sqrt(len(by))
+    return max(p.probes, min(lists, int((sure < p.recall).sum()) + 1))
+
+
 def search(vectors: DataFrame, queries: DataFrame, p: NeighbourParameters | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest inner product, as far as the index finds them."""
     p = p or NeighbourParameters()
@@ -143,7 +190,7 @@ def search(vectors: DataFrame, queries: DataFrame, p: NeighbourParameters | None
         for batch in batches:
             if batch.num_rows:
                 d = index.distances(index.place_query(_matrix(batch, "v")))
-                n = min(p.probes, d.shape[1])
+                n = probes
                 lists = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1)
                 rows = np.repeat(np.arange(batch.num_rows), n)
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(lists.ravel(), pa.int32())], names=["id", "v", "list"])
@@ -151,6 +198,7 @@ def search(vectors: DataFrame, queries: DataFrame, p: NeighbourParameters | None
     kind = vectors.schema[vector].dataType.simpleString()
     shape = f"id long, v {kind}, list int"
     placed = written(found.mapInArrow(to_lists, shape), "lists")
+    probes = probes_needed(placed, asked, index, p)
     sizes = {r[0]: math.ceil(r[1] / p.chunk_rows) for r in placed.groupBy("list").count().collect()}  # a row for each list at most
     chunks = F.array(*[F.lit(sizes.get(i, 1)) for i in range(len(index.centroids))]) if len(index.centroids) <= 64 else None
     if chunks is None:

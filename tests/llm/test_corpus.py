@@ -4,6 +4,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +107,22 @@ def test_neighbours(spark):
     assert neighbours.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_neighbours_of_many_isotropic_rows(spark, tmp_path):
+    n = 100_000
+    x = np.random.default_rng(5).normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists}), tmp_path / "v.parquet", row_group_size=10_000)
+    vectors = spark.read.parquet(str(tmp_path / "v.parquet"))
+    found = neighbours.search(vectors, vectors.where("vec_id % 1000 = 0")).toPandas()
+    hit = 0
+    for q in range(0, n, 1000):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(set(np.argpartition(-s, 19)[:20]) & set(found[found.query_id == q].vec_id))
+    assert hit / (n // 1000 * 20) >= 0.9
+
+
 def test_encoder_agrees_with_the_tokenizer():
     texts = [
         "naïve, señor. über$$$ à l'été. ÿ, ßa, íñ÷ ÷a ÀÉ, éa\u0301. x\u00adé déjà-vu éàíïð×þ 12é4",
