@@ -2,7 +2,7 @@
 
 Base counts (words, characters, symbols, repeated lines and words) decide by fixed limits. Beyond them, rules on rates
 of a text (symbols, capitals, marks, repeated lines and words, word length) reject above a cutoff, which labelled
-documents select: for each stratum and rule, cutoffs are tried from the most lenient on, and the last is used for which
+documents select, all of them: for each stratum and rule, cutoffs are tried from the most lenient on, and the last is used for which
 an exact binomial bound says that the share of good documents that it rejects is at most ``risk``. Testing in this
 fixed order needs no correction within a rule; across strata and rules the error is divided by their number
 (Bonferroni), so with probability 1 - error every stratum's rules all keep to the risk. A stratum with too few labelled
@@ -15,6 +15,7 @@ decides. Whole texts are read, however long.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,6 @@ class QualityParameters:
     risk: float = 0.01  # share of a stratum's good documents that a rule may reject
     error: float = 0.05  # probability that any rule exceeds its risk
     steps: int = 50  # cutoffs tried for each rule, evenly from 1 down
-    calibration_rows: int = 50_000  # bound on good labelled rows of a stratum that cutoffs are chosen on
     min_words: int = 50
     max_repeated: int = 50  # percent of words
 
@@ -94,23 +94,39 @@ def measured(docs: DataFrame, stratum: str = "lang", key: str = "doc_id", text:
     )
 
 
+def _stirling_error(x: Column) -> Column:
+    """log(x!) - log(sqrt(2 pi x) (x / e)^x), for whole x of at least 1."""
+    few = F.array(*[F.lit(math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) if i else 0.0) for i in range(16)])
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (x * x)) / (x * x)) / (x * x)) / x
+    return F.when(x < 16, few[F.least(x, F.lit(15.0)).cast("int")]).otherwise(series)
+
+
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of n trials of probability p, exactly, summed from logarithms of its terms."""
-    odds = F.log(F.lit(p / (1 - p)))
-    start = F.struct((n * F.log(F.lit(1 - p))).alias("term"), F.exp(n * F.log(F.lit(1 - p))).alias("sum"))
+    """P(X <= k) of n trials of probability p: the term of k, and the sum of the terms below it by their ratios to it.
+
+    The term is written in deviations, so that no large logarithms cancel. Terms so far below k or the mean that they
+    are under e^-70 of the sum are not added.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    q, rest = 1 - p, n - k
+    log_term = F.when(k < 1, n * math.log1p(-p)).otherwise(
+        0.5 * F.log(n / (2 * math.pi * k * rest)) + _stirling_error(n) - _stirling_error(k) - _stirling_error(rest) - k * F.log(k / (n * p)) - rest * F.log(rest / (n * q))
+    )
+    steps = F.least(k, F.ceil(F.greatest(k - n * p, F.lit(0.0)) + 12 * F.sqrt(n * p * q) + 50)).cast("long")
 
-    def add(a: Column, i: Column) -> Column:
-        term = a["term"] + F.log((n - i + 1) / i) + odds
-        return F.struct(term.alias("term"), (a["sum"] + F.exp(term)).alias("sum"))
+    def add(a: Column, j: Column) -> Column:
+        i = k - j + 1  # from the term of i to that of i - 1
+        ratio = a["ratio"] * i * q / ((n - i + 1) * p)
+        return F.struct(ratio.alias("ratio"), (a["sum"] + ratio).alias("sum"))
 
-    return F.when(k >= n, 1.0).otherwise(F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, add, lambda a: a["sum"]))
+    below = F.when(steps >= 1, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<long>"))
+    ratios = F.aggregate(below, F.struct(F.lit(1.0).alias("ratio"), F.lit(1.0).alias("sum")), add, lambda a: a["sum"])
+    return F.when(k >= n, 1.0).otherwise(F.least(F.lit(1.0), F.exp(log_term + F.log(ratios))))
 
 
 def thresholds(good: DataFrame, p: QualityParameters) -> DataFrame:
     """stratum, rule, cutoff: the strictest that is proven, from good (labelled good) measured documents."""
-    counts = good.groupBy("stratum").agg(F.count("*").alias("of_stratum"))
-    held = good.join(counts.withColumnRenamed("stratum", "s"), F.equal_null(F.col("stratum"), F.col("s"))).where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < F.least(F.lit(1.0), p.calibration_rows / F.col("of_stratum")) * (1 << 30))
-    rows = held.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in RULES])).alias("r")).select("stratum", "r.rule", "r.x")
+    rows = good.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in RULES])).alias("r")).select("stratum", "r.rule", "r.x")
     # below[j]: rows at most cutoff j/steps, counted by the first cutoff that they pass
     passed = rows.groupBy("stratum", "rule", F.least(F.lit(p.steps), F.ceil(F.col("x") * p.steps - 1e-9)).cast("int").alias("step")).agg(F.count("*").alias("n"))
     grouped = passed.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("at"))  # at most steps + 1 entries

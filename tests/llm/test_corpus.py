@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -241,6 +242,30 @@ def test_quality(spark, odd, empty):
     assert n == pytest.approx(0.25029, abs=1e-4)
 
 
+def test_cutoffs_come_from_all_labels(spark):
+    """1,880 of 200,000 rows over a cutoff prove it; a quarter of both does not."""
+    over = {"symbols": (F.col("id") % 10000 < 94).cast("double") * 0.5}
+    good = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("stratum"), *[over.get(r, F.lit(0.0)).alias(r) for r in quality.RULES])
+    p = quality.QualityParameters()
+    cuts = {r.rule: r.cutoff for r in quality.thresholds(good, p).collect()}
+    assert cuts == {r: 1 / p.steps for r in quality.RULES}
+    assert {r.rule: r.cutoff for r in quality.thresholds(good.limit(50_000), p).collect()}["symbols"] == 0.5
+
+
+def _cdf(k, n, p):
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+    return sum(math.exp(x) for x in logs)
+
+
+def test_binomial_bound_of_few_and_many(spark):
+    cases = [(0, 10), (1, 2), (3, 50), (0, 300), (20, 3000), (30, 1500), (1800, 200_000), (1999, 200_000), (9_850, 1_000_000), (299, 300), (300, 300)]
+    rows = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.binomial_cdf(F.col("k"), F.col("n"), 0.01).alias("p")).collect()
+    for r in rows:
+        assert r.p == pytest.approx(_cdf(r.k, r.n, 0.01), rel=1e-6), (r.k, r.n)
+    vast = spark.createDataFrame([(10**9 // 100, 10**9)], "k long, n long").select(quality.binomial_cdf(F.col("k"), F.col("n"), 0.01).alias("p")).first().p
+    assert vast == pytest.approx(0.5, abs=1e-3)
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 600
     pages = spark.createDataFrame([(1, "u", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u\r\nx", "a\r\n\r\nb"), (6, "u", "a\r\n\r\nb"), (None, "u", big), (2, None, big)], "page_id long, url string, html string")
