@@ -316,9 +316,17 @@ def _nodes(spark: SparkSession) -> DataFrame:
     return spatial.with_xyz(spark.range(12 * 6).select(F.col("id").cast("int").alias("node"), (5.0 + 30 * (F.col("id") % 12)).alias("lon"), (-75.0 + 30 * F.floor(F.col("id") / 12)).alias("lat")))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _cells(spark: SparkSession) -> DataFrame:
+    """The cells of the grid that are not land: their nodes and layers."""
+    i, j = F.col("id") % 36, F.floor(F.col("id") / 36)
+    cells = spark.range(36 * 17).select(F.col("id").cast("int").alias("node"), (5.0 + 10 * i).alias("lon"), (-80.0 + 10 * j).alias("lat"), ((7 * i + 3 * j) % 5).cast("int").alias("numlevels"))
+    return spatial.with_xyz(cells.where("numlevels > 0"))
+
+
+def _pairs(spark: SparkSession, d: str, nodes: DataFrame | None = None) -> DataFrame:
+    """The SQL's nodes, 30 degrees apart, if no others are given."""
     obs = spatial.with_xyz(_with_inn(spark, d).select("id", "type", "lon", "lat", "inn", "estd")).drop("lon", "lat")
-    return spatial.within(_nodes(spark), obs, RADIUS).withColumn("coeff", M.multi_taper(F.col("d"), (RADIUS, RADIUS / 2), (0.7, 0.3)))
+    return spatial.within(_nodes(spark) if nodes is None else nodes, obs, RADIUS).withColumn("coeff", M.multi_taper(F.col("d"), (RADIUS, RADIUS / 2), (0.7, 0.3)))
 
 
 def _xyz_sql(lon: str, lat: str, p: str) -> str:
@@ -376,21 +384,35 @@ def _single(spark: SparkSession, d: str, scheme: str) -> DataFrame:
 def _local_input(spark: SparkSession, d: str) -> DataFrame:
     ens = _ensemble(spark, d).select("n", _standardised(F.col("e"), 20.0).alias("s"))
     size = ens.count()
-    return _pairs(spark, d).withColumn("n", F.col("id") % size).join(ens, "n").select("node", "id", "coeff", "s", (F.col("inn") / (20.0 * 63**0.5)).alias("inn"))
+    return _pairs(spark, d, _cells(spark)).withColumn("n", F.col("id") % size).join(ens, "n").select("node", "id", "coeff", "s", (F.col("inn") / (20.0 * 63**0.5)).alias("inn"))
+
+
+def _solved(spark: SparkSession, d: str) -> DataFrame:
+    return kernel.with_defaults(_cells(spark), kernel.local_analyses(_local_input(spark, d)), MEMBERS)
 
 
 @query()
 def local_transforms(spark, d):
-    """Every node's analysis; those without observations keep their ensemble."""
-    solved = kernel.with_defaults(_nodes(spark), kernel.local_analyses(_local_input(spark, d)), MEMBERS)
-    return solved.select("node", "nlobs", "dfs", "srf", F.col("w")[0].alias("w1"), F.col("t")[0].alias("t11"))
+    """The analysis of every cell that is not land; those without observations keep their ensemble."""
+    return _solved(spark, d).select("node", "nlobs", "dfs", "srf", F.col("w")[0].alias("w1"), F.col("t")[0].alias("t11"))
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    """n, node, e of the elements above the ground: n = (k * 17 + j) * 36 + i has the members of row n % N of N.
+
+    Where N is more than the elements of a field, the state has as many fields as it takes to have every row.
+    """
+    ens = _ensemble(spark, d)
+    size, field = ens.count(), 4 * 17 * 36
+    at = spark.range(field * max(1, -(-size // field))).select(F.col("id").alias("n"), (F.col("id") % (17 * 36)).cast("int").alias("node"), (F.floor(F.col("id") / (17 * 36)) % 4).alias("k"))
+    wet = at.join(_cells(spark).select("node", "numlevels"), "node").where("k < numlevels")
+    return wet.select("n", "node", (F.col("n") % max(1, size)).alias("row")).join(ens.withColumnRenamed("n", "row"), "row").select("n", "node", "e")
 
 
 @query()
 def state_update(spark, d):
-    """Analysed state: each node's members moved by its transform."""
-    solved = kernel.with_defaults(_nodes(spark), kernel.local_analyses(_local_input(spark, d)), MEMBERS)
-    state = _ensemble(spark, d).withColumn("node", (F.col("n") % 72).cast("int")).join(solved.select("node", "w", "t"), "node")
+    """Analysed state: each element's members moved by its own cell's transform."""
+    state = _state(spark, d).join(_solved(spark, d).select("node", "w", "t"), "node")
     a = kernel.updated(state, MEMBERS)
     return a.select("n", "node", M.mean_of(F.col("e")).alias("mean_f"), M.mean_of(F.col("a")).alias("mean_a"), F.sqrt(M.square_sum(M.anomalies(F.col("a"), M.mean_of(F.col("a")))) / 63).alias("spread_a"))
 

@@ -60,3 +60,34 @@ def test_config():
     assert (c.mode, c.scheme, c.inflation, c.inflation_ratio, c.extra["OBSTYPES"]) == ("HYBRID", "ETKF", 1.06, None, [["x.prm"]])
     with pytest.raises(ValueError):
         config.read_config("MODE = ENKF\nMODE = ENOI")
+
+
+def test_analyses_of_all_wet_cells(spark):
+    """Against a brute search over the grid of prep.py, and each state element against its own cell's transform."""
+
+    def xyz(lon, lat):
+        lon, lat = np.radians(lon), np.radians(lat)
+        return 6371.0 * np.stack([np.cos(lon) * np.cos(lat), np.sin(lon) * np.cos(lat), np.sin(lat)], -1)
+
+    obs = queries._with_inn(spark, SMALL).toPandas().sort_values("id").reset_index(drop=True)
+    pairs = queries._pairs(spark, SMALL, queries._cells(spark)).select("node", "id", "coeff").toPandas()
+    wet = [n for n in range(36 * 17) if (7 * (n % 36) + 3 * (n // 36)) % 5 > 0]
+    near = {n: set(obs.id[np.linalg.norm(xyz(5.0 + 10 * (n % 36), -80.0 + 10 * (n // 36)) - xyz(obs.lon, obs.lat), axis=1) <= queries.RADIUS]) for n in wet}
+    assert set().union(*near.values()) == set(obs.id)
+    found = queries.QUERIES["local_transforms"](spark, SMALL).toPandas()
+    assert dict(zip(found.node, found.nlobs, strict=True)) == {n: len(x) for n, x in near.items()}
+
+    e = np.stack(queries._ensemble(spark, SMALL).toPandas().sort_values("n").e.to_numpy())
+    anomalies = e - e.mean(1, keepdims=True)
+    state = queries.QUERIES["state_update"](spark, SMALL).toPandas().set_index("n")
+    assert sorted(state.index) == [n for n in range(4 * 612) if n // 612 < (7 * (n % 36) + 3 * (n % 612 // 36)) % 5]
+    inn = dict(zip(obs.id, obs.inn, strict=True))
+    for n in state.index[::100]:
+        mine = pairs[pairs.node == n % 612].sort_values("id")
+        row = n % len(e)
+        w = np.zeros(64)
+        if len(mine):
+            c = mine.coeff.to_numpy()
+            s = anomalies[mine.id.to_numpy() % len(e)] / (20 * 63**0.5)
+            w = kernel.analysis(s * c[:, None], np.array([inn[i] for i in mine.id]) / (20 * 63**0.5) * c)[0]
+        assert state.loc[n].node == n % 612 and state.loc[n].mean_a == pytest.approx(e[row].mean() + anomalies[row] @ w, abs=1e-5)
