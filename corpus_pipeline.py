@@ -29,10 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind."""
-    spans = pii.detect(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__of"), "spans").dropDuplicates(["__of"])
-    joined = docs.join(spans, F.col("doc_id") == F.col("__of"), "left").withColumn("text", pii.masked(F.col("text"), F.col("spans")))
-    return joined.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Spans of personal data are replaced by their kind, in each row by its own spans, whatever its id."""
+    found = pii.detect(docs, whole=True).select("row.*", F.col("spans").alias("__spans"))
+    has = F.size("__spans") > 0
+    masked = found.withColumn("text", pii.masked(F.col("text"), F.col("__spans")))
+    return masked.withColumn("n_chars", F.when(has, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

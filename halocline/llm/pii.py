@@ -198,20 +198,24 @@ def _posteriors(counted: DataFrame, p: PiiParameters) -> dict[str, dict[tuple, f
     return {kind: _expectation_maximisation([(tuple(r[s] for s in SHAPES), r.n) for r in rows if r.kind == kind], p) for kind in {r.kind for r in rows}}
 
 
-def detect(docs: DataFrame, p: PiiParameters | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base (spans) and spans (all): a row for each of docs. Texts are read once and not shuffled."""
+def detect(docs: DataFrame, p: PiiParameters | None = None, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, base (spans) and spans (all): a row for each of docs. Texts are read once and not shuffled.
+
+    With whole, each row of docs comes along with its own spans, as the struct row.
+    """
+    row = ["row"] if whole else []
     p = p or PiiParameters()
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    first = docs.select(F.col(key).alias("doc_id"), body.alias("t")).withColumn("base", base_spans(F.col("t")))
+    first = docs.select(F.col(key).alias("doc_id"), body.alias("t"), *([F.struct("*").alias("row")] if whole else [])).withColumn("base", base_spans(F.col("t")))
     first = first.withColumn("more", proposed_spans(F.col("t"), F.col("base")))
     voted = lambda spans, strict: F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["last"].alias("last"), features(x).alias("f"), votes(F.col("t"), x, F.lit(strict)).alias("v")))
-    rows = written(first.select("doc_id", voted("base", 1).alias("base"), voted("more", 0).alias("more")), "candidates")
+    rows = written(first.select("doc_id", *row, voted("base", 1).alias("base"), voted("more", 0).alias("more")), "candidates")
     each = rows.select(F.explode(F.concat("base", "more")).alias("x")).select("x.*")
     posterior = _posteriors(each, p)
     if not posterior:
         plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["last"].alias("last")))
-        return rows.select("doc_id", plain.alias("base"), plain.alias("spans"))
+        return rows.select("doc_id", *row, plain.alias("base"), plain.alias("spans"))
     flat = [(k, *x, q) for k, of in sorted(posterior.items()) for x, q in sorted(of.items())]
     soft = F.broadcast(spark.createDataFrame(flat, "kind string, " + ", ".join(f"{s} int" for s in SHAPES) + ", q double"))  # at most 4 * 3^5 rows
     joined = each.select("kind", "f", *[F.col(f"v.{s}").alias(s) for s in SHAPES]).join(soft, ["kind", *SHAPES])
@@ -230,7 +234,7 @@ def detect(docs: DataFrame, p: PiiParameters | None = None, key: str = "doc_id",
     plain = lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["last"].alias("last"))
     chosen = F.when(F.size("more") == 0, F.array().cast("array<struct<kind:string,first:int,last:int>>")).otherwise(bind(w, lambda w: bind(prior, lambda o: F.transform(F.filter("more", lambda x: value(x, w, o) > math.log(p.accept / (1 - p.accept))), plain))))
     base = F.transform("base", plain)
-    return rows.select("doc_id", base.alias("base"), F.concat(base, chosen).alias("spans"))
+    return rows.select("doc_id", *row, base.alias("base"), F.concat(base, chosen).alias("spans"))
 
 
 def written_out(spans: Column) -> Column:

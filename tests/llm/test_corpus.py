@@ -309,3 +309,12 @@ def test_pipeline(spark, odd, empty):
             assert out.columns == docs.columns, name
             docs = spark.createDataFrame(out.collect(), T.StructType([T.StructField(f.name, f.dataType) for f in out.schema]))
         pipeline.STAGES[-1][1](spark, docs, SMALL).count()
+
+
+def test_personal_data_of_null_and_repeated_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(None, "mail a@b.cd now"), (None, "no data"), (None, "at c@d.ef"), (3, "clean text without any"), (3, "x y@z.cd"), (3, "longer words, then y@z.cd"), (4, None), (None, None), (3, "x y@z.cd")]
+    docs = spark.createDataFrame([(i, t, "en", "s", -1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = Counter((r.doc_id, r.text, r.n_chars) for r in pipeline.personal_data(spark, docs, SMALL).collect())
+    clean = [(i, re.sub(r"\S+@\S+", "[EMAIL]", t or "") if t else None) for i, t in rows]
+    assert found == Counter((i, t, len(t) if t and "[EMAIL]" in t else -1) for i, t in clean)
