@@ -5,39 +5,39 @@ each group. Two sets share at most the sum, over groups, of the smaller count, a
 a tree node is bounded likewise by the node's largest counts; sets whose bound reaches what the threshold asks for are
 verified shingle by shingle. Pairs that links found already connect need no verifying.
 
-Which documents meet in a tree:
-
-1. Documents of equal sets become one (a digest of the whole set tells them).
-2. Two sets within the threshold differ in at most D shingles, D growing with their size. With D + 1 + 2 s groups, at
-   least 1 + 2 s of them hold the same shingles in both. So each set is listed under the content of its groups but the s
-   smallest (which tell least), and two linked sets are listed together somewhere. The number of groups depends on a
-   size class; a set within reach of the next class is listed there too. This loses no pair. Listings are combined
-   before they are shuffled, so a key that very many sets have sends one row from each task, and a star of edges
-   stands for the sets listed together.
+Which sets meet in a tree:
+
+1. Documents of equal sets become one: the 64-bit hash of a whole set is its name from here on.
+2. Shingles are counted over all distinct sets. Tasks send sorted blocks of (48 bits of the shingle, set) to ranges of
+   the hash, each of a bounded number of entries; a range keeps what two sets or more hold, which is little of most
+   corpora. Any order of shingles serves a prefix filter: two sets within the threshold t share one of the
+   n - ceil(t n) + 1 first of each. With the rarest first, a set is listed under those that another set holds too, so
+   documents that share a common passage but no more are not listed together. This loses no pair. Listings are
+   combined before they are shuffled, so a key that very many sets have sends one row from each task, and a star of
+   edges stands for the sets listed together.
 3. Sets listed together form clusters (connected components, a superset of the linked ones). A cluster is cut into
    pages of a bounded number of shingles; small clusters share a page. Each page, with some pivots
    from its whole cluster, is one tree. As copies of one text link to a pivot, links within pages nearly always join
    what pages hold apart.
-4. In clusters of several pages, documents that are still outside their cluster's main component meet every other page
-   too, so no link is lost, whatever the cluster looks like.
+4. In clusters of several pages, sets that are still outside their cluster's main component meet, page by page, the
+   sets of other components that are listed under a key of theirs, so no link is lost, whatever the cluster looks like.
 
 Cases: null and empty texts and texts of white space have an empty set and are linked with nothing. Texts of fewer
 words than a shingle have one of the whole sequence. Rows that repeat an id are one document if their sets agree; if
-they don't, they are linked through the id. Rows without an id have n_shingles but no component. Very long texts are
-read whole. An empty table gives no rows.
+they don't, ``join`` links them through the id (``classes`` does not). An empty set's component is its own id. Rows
+without an id have n_shingles but no component in ``join``. Very long texts are read whole; other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from dataclasses import dataclass
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -52,7 +52,8 @@ class JoinParameters:
     page_shingles: int = 1_000_000
     pivots: int = 24
     fan_out: int = 16
-    growth: float = 1.5  # of size classes
+    range_entries: int = 1_000_000  # entries of sets that a task counts shingles of at once
+    block_entries: int = 4_000_000  # entries that a task sorts into blocks at once
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,40 +76,9 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(total)
 
 
-@lru_cache
-def classes(percent: int, growth: float) -> tuple[tuple[int, int, int, int], ...]:
-    """(least size, first size beyond, groups, groups left out) of each size class from which on sets can differ."""
-    out, low = [], 1
-    while low < 1 << 40:
-        high = max(low + 1, math.ceil(low * growth))
-        # sets a, b within the threshold differ in at most (a + b)(100 - t) / (100 + t) shingles
-        differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
-        spare = 1 + differ // 12
-        if differ:
-            out.append((low, high, differ + 1 + 2 * spare, spare))
-        low = high
-    return tuple(out)
-
-
-def listings(s: np.ndarray, p: JoinParameters) -> np.ndarray:
-    """Keys under which a set is listed: any set within the threshold has one of them too."""
-    found = []
-    for number, (low, high, groups, spare) in enumerate(classes(p.percent, p.growth)):
-        if len(s) * 100 // p.percent < low:
-            break
-        if len(s) >= high:
-            continue
-        with np.errstate(over="ignore"):
-            own = _mixed(s + np.uint64(number + 1))
-            group = (own % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            counts = np.bincount(group, minlength=groups)
-            sums = np.zeros(groups, np.uint64)
-            have = np.flatnonzero(counts)
-            sums[have] = np.add.reduceat(_mixed(own[order]), (np.cumsum(counts) - counts)[have])
-            keys = _mixed(sums + _mixed(np.arange(groups, dtype=np.uint64) + np.uint64((number + 1) << 32)))
-        found.append(keys[np.argsort(counts, kind="stable")[spare:]])
-    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+def name_of(s: np.ndarray) -> int:
+    """The name of a set: 64 bits of a hash of its shingles."""
+    return int.from_bytes(blake2b(s, digest_size=8).digest(), "little", signed=True)
 
 
 def needed(a, b, percent: int):
@@ -116,30 +86,47 @@ def needed(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
+def packed_order(points: np.ndarray, leaf: int) -> np.ndarray:
+    """An order of points in which near ones are neighbours: cut in halves along the coordinate that varies most."""
+    done, todo = [], [np.arange(len(points))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf:
+            done.append(rows)
+            continue
+        own = points[rows]
+        rows = rows[np.argsort(own[:, own.var(0).argmax()], kind="stable")]
+        half = -(-len(rows) // (2 * leaf)) * leaf
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
 class CountTree:
-    """An R-tree over group counts, packed in order of size; each level holds its nodes' largest counts and least sizes."""
+    """An R-tree over group counts, packed so that near points share nodes; levels hold nodes' largest counts and sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, fan_out: int):
-        self.fan_out, self.levels = fan_out, [(points, sizes, sizes)]
+        self.fan_out, self.order = fan_out, packed_order(points, fan_out)
+        points, sizes = points[self.order], sizes[self.order]
+        self.levels = [(points, sizes, sizes)]
         while len(self.levels[-1][0]) > fan_out:
             top, low, high = self.levels[-1]
             at = np.arange(0, len(top), fan_out)
             self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
     def candidates(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Rows whose bound on the shared shingles is as large as needed, in order."""
+        """Rows whose bound on the shared shingles is as large as needed."""
         top = self.levels[-1]
         alive = np.arange(len(top[0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             counts, low, high = self.levels[depth]
-            fits = (100 * np.minimum(high[alive], size) >= percent * np.maximum(low[alive], size))
+            fits = (100 * high[alive] >= percent * size) & (100 * size >= percent * low[alive])
             alive = alive[fits]
             bound = np.minimum(counts[alive], point).sum(1, dtype=np.int64)
             alive = alive[bound >= needed(low[alive], size, percent)]
             if depth:
                 alive = (alive[:, None] * self.fan_out + np.arange(self.fan_out)).ravel()
                 alive = alive[alive < len(self.levels[depth - 1][0])]
-        return alive
+        return self.order[alive]
 
 
 def linked(sets: list[np.ndarray], group: np.ndarray, labels: np.ndarray, asking: np.ndarray, p: JoinParameters) -> list[tuple[int, int]]:
@@ -186,22 +173,105 @@ def linked(sets: list[np.ndarray], group: np.ndarray, labels: np.ndarray, asking
 
 
 def _signed(docs: DataFrame, p: JoinParameters) -> DataFrame:
-    """id, n, digest: a row for each of docs."""
+    """id, h (the text's hash), n, set: a row for each of docs."""
 
     def run(batches):
         for part, texts in slices(batches, "text"):
             sets = [shingles(t, p.words) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary())], names=["id", "n", "digest"])
+            columns = [part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name_of(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "n", "set"])
+
+    return docs.mapInArrow(run, "id long, h long, n long, set long")
+
+
+def _blocks(docs: DataFrame, ranges: int, p: JoinParameters) -> DataFrame:
+    """range, and entries (48 bits of a shingle, place of its set) of that range, with the names and sizes of the sets."""
+    bounds = np.array([-(-(i << 48) // ranges) << 16 for i in range(1, ranges)], np.uint64)
+
+    def cut(held):
+        names = np.array([name for name, _ in held], np.int64)
+        sizes = np.array([len(s) for _, s in held], np.uint32)
+        keys = [np.unique(s >> np.uint64(16)) << np.uint64(16) for _, s in held]
+        entries = np.sort(np.concatenate([k | np.uint64(i) for i, k in enumerate(keys)]))
+        kinds = np.array([len(k) for k in keys], np.uint32)
+        parts = np.split(entries, np.searchsorted(entries, bounds))
+        for at in range(0, ranges, 256):
+            rows = []
+            for number, own in enumerate(parts[at : at + 256], at):
+                if len(own):
+                    sets, place = np.unique((own & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
+                    # byte by byte, as the upper bytes of sorted entries compress
+                    key = (own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+                    rows.append((number, key, place.astype(np.uint16).tobytes(), names[sets].tobytes(), sizes[sets].tobytes(), kinds[sets].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["range", "keys", "places", "sets", "sizes", "kinds"])
+
+    def run(batches):
+        held, size, seen = [], 0, set()
+        for _, texts in slices(batches, "text"):
+            for t in texts:
+                s = shingles(t, p.words)
+                name = name_of(s)
+                if not len(s) or name in seen:
+                    continue
+                seen.add(name)
+                held.append((name, s))
+                size += len(s)
+                if size >= p.block_entries or len(held) == 0xFFFF:
+                    yield from cut(held)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield from cut(held)
+
+    return docs.select("text").mapInArrow(run, "range int, keys binary, places binary, sets binary, sizes binary, kinds binary")
 
-    return docs.mapInArrow(run, "id long, n long, digest binary")
 
+def _shared(blocks: DataFrame) -> DataFrame:
+    """set, size, kinds, key, df: the entries whose key several sets have."""
 
-def _listed_together(docs: DataFrame, p: JoinParameters) -> DataFrame:
-    """Edges a, b (a < b) that connect all ids that are listed under one key."""
+    def count(_, rows):
+        keys, sets, sizes, kinds = [], [], [], []
+        for row in rows.select(["keys", "places", "sets", "sizes", "kinds"]).to_pylist():
+            place = np.frombuffer(row["places"], np.uint16)
+            low = np.zeros((len(place), 8), np.uint8)
+            low[:, :6] = np.frombuffer(row["keys"], np.uint8).reshape(6, -1).T
+            keys.append(low.view(np.int64).ravel())
+            for out, name, kind in ((sets, "sets", np.int64), (sizes, "sizes", np.uint32), (kinds, "kinds", np.uint32)):
+                out.append(np.frombuffer(row[name], kind)[place])
+        keys, sets, sizes, kinds = map(np.concatenate, (keys, sets, sizes, kinds))
 
-    def combined(held):
-        """One row (key, smallest id) for each key, and edges to it (with a target) from other ids that have it."""
-        keys, ids = np.concatenate([k for _, k in held]), np.repeat([i for i, _ in held], [len(k) for _, k in held])
+        def several(k):
+            """Of sorted keys, those that stand there more than once."""
+            same = k[1:] == k[:-1]
+            return np.concatenate([same, [False]]) | np.concatenate([[False], same])
+
+        order = np.argsort(keys)
+        order = order[several(keys[order])]
+        order = order[np.lexsort((sets[order], keys[order]))]
+        k, s = keys[order], sets[order]
+        if len(order):
+            order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])]  # equal sets of several tasks
+            order = order[several(keys[order])]
+        k = keys[order]
+        _, place, df = np.unique(k, return_inverse=True, return_counts=True)
+        return pa.table({"set": sets[order], "size": sizes[order].astype(np.int64), "kinds": kinds[order].astype(np.int64), "key": k, "df": df[place].astype(np.int64)})
+
+    return blocks.groupBy("range").applyInArrow(count, "set long, size long, kinds long, key long, df long")
+
+
+def _listed(shared: DataFrame, p: JoinParameters) -> DataFrame:
+    """key, set: each set under the keys of its first shingles, the rarest first, that other sets have too."""
+    own = shared.groupBy("set", "size", "kinds").agg(F.collect_list(F.struct("df", "key")).alias("k"))  # as many as the set has
+    first = F.col("size") - F.ceil(F.col("size") * p.percent / F.lit(100)) + 1
+    take = (first - (F.col("kinds") - F.size("k"))).cast("int")
+    return own.where(take > 0).select("set", F.explode(F.slice(F.sort_array("k"), 1, F.greatest(take, F.lit(1)))).alias("e")).select("e.key", "set")
+
+
+def _listed_together(listed: DataFrame) -> DataFrame:
+    """Edges a, b that connect all sets that are listed under one key."""
+
+    def combined(keys, ids):
+        """One row (key, smallest set) for each key, and edges to it (with a target) from other sets that have it."""
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -209,30 +279,23 @@ def _listed_together(docs: DataFrame, p: JoinParameters) -> DataFrame:
         other = np.unique(np.stack([first[~new], ids[~new]]), axis=1)
         other = other[:, other[0] != other[1]]
         count = int(new.sum())
+        spread = _mixed(other.view(np.uint64)).sum(0, dtype=np.uint64).view(np.int64) if other.shape[1] else np.zeros(0, np.int64)
         return pa.RecordBatch.from_pydict({
-            "key": np.concatenate([keys[new], _mixed((other[0] * 31 + other[1]).view(np.uint64)).view(np.int64)]),
+            "key": np.concatenate([keys[new], spread]),
             "id": np.concatenate([ids[new], other[1]]),
             "to": pa.array(np.concatenate([np.zeros(count, np.int64), other[0]]), mask=np.arange(count + other.shape[1]) < count),
         })
 
-    def list_all(batches):
-        held, size, seen = [], 0, set()
-        for part, texts in slices(batches, "text"):
-            for i, t in zip(part.column("id").to_pylist(), texts, strict=True):
-                s = shingles(t, p.words)
-                digest = hashlib.blake2b(s, digest_size=16).digest()
-                if i is None or not len(s) or digest in seen:  # an equal set is listed already
-                    continue
-                seen.add(digest)
-                k = listings(s, p)
-                if len(k):
-                    held.append((i, k))
-                    size += len(k)
+    def combine(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column("key").to_numpy(), batch.column("set").to_numpy()))
+            size += batch.num_rows
             if size >= 2_000_000:
-                yield combined(held)
-                held, size, seen = [], 0, set()
-        if held:
-            yield combined(held)
+                yield combined(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield combined(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     def star(batches):
         last, head = None, None
@@ -252,87 +315,124 @@ def _listed_together(docs: DataFrame, p: JoinParameters) -> DataFrame:
             a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
             yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-    rows = docs.mapInArrow(list_all, "key long, id long, to long")
+    rows = listed.mapInArrow(combine, "key long, id long, to long")
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(star, "a long, b long")
 
 
-def _paged(members: DataFrame, texts: DataFrame, spread: int, p: JoinParameters) -> DataFrame:
-    """Links a, b from pages: members has id, cluster, page, label, asks; pages of one bin are handled in one go."""
+def _paged(members: DataFrame, texts: DataFrame, where: DataFrame, spread: int, p: JoinParameters) -> DataFrame:
+    """Links a, b from pages: members has set, page, bin, label, asks; pages of one bin are handled in one go.
+
+    where: the row (id, h) of texts whose text makes a set.
+    """
 
     def run(pages):
-        pages = pages.drop_duplicates(["page", "id", "text"])
+        pages = pages.drop_duplicates(["page", "set"])
         sets = [shingles(t, p.words) for t in pages["text"]]
         group, _ = pd.factorize(pages["page"])
-        ids = pages["id"].to_numpy()
+        names = pages["set"].to_numpy()
         labels, _ = pd.factorize(pages["label"])
         pairs = linked(sets, group, labels, pages["asks"].to_numpy(), p)
-        return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype="int64")
+        return pd.DataFrame({"a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs]}, dtype="int64")
 
-    with_text = members.join(texts, "id").select("bin", "page", "id", "label", "asks", "text")
+    with_text = members.join(where, "set").join(texts, ["id", "h"]).select("bin", "page", "set", "label", "asks", "text")
     return with_text.repartition(int(max(8, min(spread, 20_000))), "bin").groupBy("bin").applyInPandas(run, "a long, b long")
 
 
-def join(docs: DataFrame, p: JoinParameters | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (the smallest id of an equal set) for each row of docs."""
+def classes(docs: DataFrame, p: JoinParameters | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, h, n, set, root: each row's set and the smallest set that links reach from it (null for empty sets).
+
+    h is xxhash64 of the text; id and h together tell the rows apart, apart from repeated ones. A written table.
+    """
     p = p or JoinParameters()
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = written(_signed(rows, p), "signatures")
-    clusters = components(_listed_together(rows, p)).withColumnsRenamed({"node": "id", "component": "cluster"})
-    sized = written(clusters.join(signed.groupBy("id").agg(F.max("n").alias("n")), "id"), "clusters")
-    links = _links(docs.sparkSession, sized, rows.where("id is not null"), p)
-    # an equal set's smallest id stands for all of them; the large side of a join on a digest that very many have is split
-    equal = signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    known = signed.join(equal, "digest", "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")).alias("rep"))
-    known = written(known, "classes")
-    of = known.where("id is not null").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    a, b = (of.select(F.col("id").alias(f"i{x}"), F.col("low").alias(f"r{x}")) for x in "ab")
-    between = links.join(a, F.col("a") == F.col("ia")).join(b, F.col("b") == F.col("ib")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    # rows of one id with unequal sets
-    through = known.join(of.where("low <> high").select("id", "low"), "id").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    found = components(between.unionByName(through)).withColumnsRenamed({"node": "of", "component": "found"})
-    out = known.join(found, F.col("rep") == F.col("of"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("found", "rep").alias("component_id"), F.col("rep").alias("class_id"))
+    known, links = _known(docs, p, key, text)
+    return written(_rooted(known, components(links)), "rooted")
 
 
-def _links(spark: SparkSession, sized: DataFrame, rows: DataFrame, p: JoinParameters) -> DataFrame:
-    """Links a, b within clusters (id, cluster, n)."""
-    volume = sized.groupBy(F.col("cluster").alias("c")).agg(F.sum("n").alias("volume"), F.count("*").alias("members"), F.max("n").alias("longest"))
+def _known(docs: DataFrame, p: JoinParameters, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables of rows (id, h, n, set) and of links a, b that connect all sets within the threshold."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    known = written(_signed(rows, p), "signatures")
+    total = known.agg(F.sum("n")).first()[0]
+    if not total:
+        return known, spark.createDataFrame([], "a long, b long")
+    listed = written(_listed(_shared(_blocks(rows, max(8, math.ceil(total / p.range_entries)), p)), p), "listed")
+    clusters = components(_listed_together(listed)).withColumnsRenamed({"node": "set", "component": "cluster"})
+    # where a set's text is to be found: null ids are as good as others
+    place = F.min(F.struct(F.coalesce("id", F.lit(-1 << 63)).alias("id"), "h"))
+    of = known.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), place.alias("w")).select("set", "n", "w.id", "w.h")
+    sized = written(clusters.join(of, "set"), "clusters")
+    texts = rows.select(F.coalesce("id", F.lit(-1 << 63)).alias("id"), "h", "text")
+    return known, _links(spark, sized, listed, texts, p)
+
+
+def _rooted(known: DataFrame, found: DataFrame) -> DataFrame:
+    """known with root, of found (node, component)."""
+    # the large side of a join on a set that very many rows have is split
+    out = known.join(found.withColumnsRenamed({"node": "set", "component": "root"}), "set", "left")
+    return out.select("id", "h", "n", "set", F.when(F.col("n") > 0, F.coalesce("root", "set")).alias("root"))
+
+
+def join(docs: DataFrame, p: JoinParameters | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (the smallest id of an equal set) for each row of docs."""
+    known, links = _known(docs, p or JoinParameters(), key, text)
+    # rows of one id with unequal sets
+    full = known.where("n > 0 and id is not null")
+    mixed = full.groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("id", "a")
+    through = full.join(mixed, "id").select("a", F.col("set").alias("b"))
+    rooted = written(_rooted(known, components(links.unionByName(through))), "rooted")
+    # an equal set's smallest id stands for all of them, and a component's smallest for all of it
+    sets = rooted.where("n > 0 and id is not null").groupBy("root", "set").agg(F.min("id").alias("class_id"))
+    named = sets.join(sets.groupBy("root").agg(F.min("class_id").alias("low")), "root").select(F.col("set").alias("s"), "class_id", "low")
+    out = rooted.join(named, (F.col("set") == F.col("s")) & (F.col("n") > 0), "left")
+    own = lambda c: F.when(F.col("id").isNotNull(), F.coalesce(c, "id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own("low").alias("component_id"), own("class_id").alias("class_id"))
+
+
+def _links(spark: SparkSession, sized: DataFrame, listed: DataFrame, texts: DataFrame, p: JoinParameters) -> DataFrame:
+    """Links a, b within clusters (set, cluster, n, id, h); a written table."""
+    volume = sized.groupBy("cluster").agg(F.sum("n").alias("volume"), F.count("*").alias("members"))
     volume = written(volume.withColumn("pages", F.least(F.greatest(F.lit(1).cast("long"), F.ceil(F.col("volume") / p.page_shingles)), F.col("members"))), "volumes")
     total, most = volume.agg(F.sum("volume"), F.max("pages")).first()
     if not total:
         return spark.createDataFrame([], "a long, b long")
+    where = sized.select("set", "id", "h")
     bins = max(1, math.ceil(2 * total / p.page_shingles))
-    placed = sized.join(volume.select("c", "pages"), F.col("cluster") == F.col("c")).drop("c")
-    hashed = F.pmod(F.xxhash64("id"), F.col("pages")).cast("int")
-    one = placed.where("pages = 1").select("id", "cluster", F.lit(0).alias("page_no"), "n")
-    many = written(placed.where("pages > 1").select("id", "cluster", hashed.alias("page_no"), "n", "pages"), "paged")
-    small = one.select("id", F.concat_ws(":", F.lit("s"), "cluster").alias("page"), F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("bin"), F.col("id").alias("label"), F.lit(True).alias("asks"))
+    placed = sized.join(volume.select("cluster", "pages"), "cluster")
+    one = placed.where("pages = 1")
+    small = one.select("set", F.concat_ws(":", F.lit("s"), "cluster").alias("page"), F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("bin"), F.col("set").alias("label"), F.lit(True).alias("asks"))
     if most <= 1:
-        return written(_paged(small, rows, bins, p), "links")
-    # pivots: of each page the id of the smallest hash, of these the first
-    share = F.xxhash64(F.lit(17), "id")
-    sampled = many.groupBy("cluster", "page_no").agg(F.min_by("id", share).alias("id")).groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list("id")), 1, p.pivots).alias("pivots"))
-    pages = many.select("cluster", "page_no").distinct()
-    pivot_rows = pages.join(sampled, "cluster").select(F.explode("pivots").alias("id"), "cluster", "page_no")
-    with_pivots = many.select("id", "cluster", "page_no").unionByName(pivot_rows).distinct()
-    name = lambda kind: F.concat_ws(":", F.lit(kind), "cluster", "page_no")
-    large = with_pivots.select("id", name("l").alias("page"), name("l").alias("bin"), F.col("id").alias("label"), F.lit(True).alias("asks"))
-    first = small.unionByName(large)
-    links = written(_paged(first, rows, bins + most, p), "links")
-    known = components(links).withColumnsRenamed({"node": "n_id", "component": "label"})
-    labelled = many.join(known, F.col("id") == F.col("n_id"), "left").select("id", "cluster", "page_no", F.coalesce("label", "id").alias("label"))
-    labelled = written(labelled, "labelled")
+        return written(_paged(small, texts, where, bins, p), "links")
+    many = written(placed.where("pages > 1").select("set", "cluster", F.pmod(F.xxhash64("set"), F.col("pages")).cast("int").alias("page_no")), "paged")
+    # pivots: a bounded number of sets of each cluster, by the smallest hashes of theirs; names of sets are hashes
+    order = Window.partitionBy("cluster").orderBy("share")
+    share = many.select("cluster", "set", F.xxhash64(F.lit(17), "set").alias("share"))
+    sampled = share.withColumn("place", F.row_number().over(order)).where(F.col("place") <= p.pivots).select("cluster", "set")
+    pivot_rows = many.select("cluster", "page_no").distinct().join(sampled, "cluster").select("set", "cluster", "page_no")
+    with_pivots = many.unionByName(pivot_rows).distinct()
+    name = F.concat_ws(":", F.lit("l"), "cluster", "page_no")
+    large = with_pivots.select("set", name.alias("page"), name.alias("bin"), F.col("set").alias("label"), F.lit(True).alias("asks"))
+    links = written(_paged(small.unionByName(large), texts, where, bins + most, p), "links")
+    known = components(links).withColumnsRenamed({"node": "set", "component": "label"})
+    labelled = written(many.join(known, "set", "left").select("set", "cluster", "page_no", F.coalesce("label", "set").alias("label")), "labelled")
     weight = labelled.groupBy("cluster", "label").agg(F.count("*").alias("m"))
-    main = weight.groupBy(F.col("cluster").alias("c")).agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    outside = written(labelled.join(main, (F.col("cluster") == F.col("c")) & (F.col("label") != F.col("main"))).select("id", "cluster", "page_no", "label"), "outside")
+    main = weight.groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    outside = written(labelled.join(main, "cluster").where("label <> main").select("set", "cluster", "page_no", "label"), "outside")
     if outside.isEmpty():
         return links
-    asking_pages = outside.select("cluster", F.col("page_no").alias("p")).distinct()
-    pairs = written(asking_pages.join(pages.withColumnRenamed("page_no", "q"), "cluster").where("p <> q").withColumnRenamed("cluster", "c"), "page-pairs")
-    pair = F.concat_ws(":", F.lit("x"), "c", "p", "q")
-    meeting = lambda rows, side, asks: rows.join(pairs, (F.col("cluster") == F.col("c")) & (F.col("page_no") == F.col(side))).select("id", pair.alias("page"), pair.alias("bin"), "label", F.lit(asks).alias("asks"))
+    # under each key, the pages of sets outside and the pages that hold another component
+    asking = listed.join(outside, "set").groupBy("key", "cluster", F.col("page_no").alias("p")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    holding = listed.join(labelled, "set")
+    pages = holding.groupBy("key", F.col("page_no").alias("q")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    met = written(asking.join(pages, "key").where("p <> q and (low <> high or least <> most or low <> least)").select("key", "cluster", "p", "q"), "met")
+    page = F.concat_ws(":", F.lit("x"), "cluster", "p", "q")
+
+    def meeting(rows: DataFrame, side: str, asks: bool) -> DataFrame:
+        own = listed.join(rows.select("set", "label", F.col("page_no").alias(side)), "set").join(met, ["key", side])
+        return own.select("set", page.alias("page"), page.alias("bin"), "label", F.lit(asks).alias("asks")).distinct()
+
     second = meeting(outside, "p", True).unionByName(meeting(labelled, "q", False))
-    more = written(_paged(second, rows, bins + most, p), "links")
+    more = written(_paged(second, texts, where, bins + most, p), "links")
     return links.unionByName(more)
 
 
