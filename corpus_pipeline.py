@@ -14,18 +14,37 @@ from halocline.llm.common import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts of no language: null ones and those without a letter. Others keep or are given their language."""
+    """Rejects texts of no language: null ones, those without a letter, and those of which no language is likelier than not.
+
+    lang becomes the predicted language where it is null or contradicted by a score of 0.99 or more. Where nothing can be
+    learned, as no row has a lang, texts with a letter stay as they are.
+    """
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model, names=("__lang", "__sure")).where(F.col("__lang") != language_id.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, model, names=("__lang", "__sure")).where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__sure") >= 0.5))
+    lang = F.when(F.col("lang").isNull() | (F.col("__sure") >= 0.99), F.col("__lang")).otherwise(F.col("lang"))
+    return found.withColumn("lang", lang).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, 80 percent) stays: that of the smallest id."""
-    groups = ngram_join.join(docs, ngram_join.JoinParameters(words=5, percent=80))
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies (shingles of five words, 80 percent) stays: that of the smallest id.
+
+    Rows are told apart by id and text together, so ids may be null or repeat over different texts; rows without an id
+    come last. Of rows that repeat id and text one stays. Empty texts are no copies of one another.
+    """
+    found = ngram_join.classes(docs, ngram_join.JoinParameters(words=5, percent=80))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    best = found.where("root is not null").groupBy("root").agg(F.min(place).alias("best"))
+    copies = found.join(best, "root").where(place != F.col("best")).select("id", "h").distinct()
+    again = written(found.groupBy("id", "h").count().where("count > 1").select("id", "h"), "again")
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    same = lambda rows: F.equal_null(F.col("doc_id").cast("long"), rows["id"]) & (F.col("__h") == rows["h"])
+    kept = hashed.join(copies, same(copies), "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same(again), "left_anti").unionByName(once).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

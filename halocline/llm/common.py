@@ -37,7 +37,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads: their readers' results are written themselves by now."""
+    for df in tables:
+        path = getattr(df, "written_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bind(value: Column, use) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,23 +19,26 @@ def components(edges: DataFrame) -> DataFrame:
     total = None
     while not edges.isEmpty():
         up = written(edges.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node"), "hooks")
-        while True:
+        moved = True
+        while moved:
             jump = up.select(F.col("node").alias("n"), F.col("root").alias("r"))
             flat = written(up.join(jump, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"), F.col("r").isNotNull().alias("moved")), "flat")
             moved = not flat.where("moved").isEmpty()
-            up = flat.select("node", "root")
-            if not moved:
-                break
+            discard(up)
+            up = flat
+        roots = up.select("node", "root")
         if total is None:
-            total = up
+            total = written(roots, "total")
         else:
-            step = up.select(F.col("node").alias("n"), F.col("root").alias("r"))
+            step = roots.select(F.col("node").alias("n"), F.col("root").alias("r"))
             carried = total.join(step, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
             # roots of earlier rounds that hook now become nodes
-            total = written(carried.unionByName(up), "total")
-        a, b = (up.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+            before, total = total, written(carried.unionByName(roots), "total")
+            discard(before)
+        a, b = (roots.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
         moved_edges = edges.join(a, F.col("a") == F.col("na"), "left").join(b, F.col("b") == F.col("nb"), "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-        edges = written(moved_edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        before, edges = edges, written(moved_edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(before, up)
     if total is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = total.select(F.col("root").alias("node"), "root").distinct()

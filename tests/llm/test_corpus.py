@@ -318,3 +318,24 @@ def test_personal_data_of_null_and_repeated_ids(spark):
     found = Counter((r.doc_id, r.text, r.n_chars) for r in pipeline.personal_data(spark, docs, SMALL).collect())
     clean = [(i, re.sub(r"\S+@\S+", "[EMAIL]", t or "") if t else None) for i, t in rows]
     assert found == Counter((i, t, len(t) if t and "[EMAIL]" in t else -1) for i, t in clean)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Rows are told apart by id and text: one row of each group of near copies stays, whatever its id."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    other = " ".join(f"o{i}" for i in range(80))
+    rows = [(5, SENTENCE), (None, SENTENCE + " more"), (7, other), (7, SENTENCE), (7, "a text of its own"), (7, "a text of its own"), (None, None), (None, "lone words"), (None, "lone words"), (9, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = Counter((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, SMALL).collect())
+    assert found == Counter([(5, SENTENCE), (7, other), (7, "a text of its own"), (None, None), (None, "lone words"), (9, ""), (8, "")])
+
+
+def test_language_stage_rejects_and_corrects(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    english, german = "the house of the man that was there and with them", "das haus und der mann der nicht mit ihnen war ist"
+    rows = [(i, english, "en") for i in range(20)] + [(i, german, "de") for i in range(20, 40)] + [(50, german, None), (51, german, "en"), (52, "12 34", "en"), (53, None, "de")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.lang for r in pipeline.language(spark, docs, SMALL).collect()}
+    assert found[50] == "de" and 52 not in found and 53 not in found and len(found) == 42 and found[0] == "en"
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.language(spark, unlabelled, SMALL).count() == 42
