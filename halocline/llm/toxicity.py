@@ -1,11 +1,14 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Besides one weight for each term the model has a short vector for each, whose inner products are the weights of pairs
-of terms in one text, so an insult beside a group mention can weigh more than their sum. Linear weights are learned
-by follow-the-regularised-leader with an L1 penalty, which leaves neutral words at exactly 0; vectors are learned only
-for terms with a weight. The model's size is fixed by the number of buckets and it is broadcast.
-
-Cases: null and empty texts get the score of a text without terms. Without any labelled row every score is 0.
+of terms in one text, so an insult beside a group mention can weigh more than their sum, also where neither weighs
+anything alone. Linear weights are learned by follow-the-regularised-leader with an L1 penalty, which leaves neutral
+words at exactly 0. Vectors are learned for every term of enough labelled rows, whatever its weight; after each step
+they are shortened by a fixed amount of gradient, so those that no pair of terms needs end at exactly 0. The model's
+size is fixed by the number of buckets and it is broadcast.
+
+Cases: null and empty texts get the score of a text without terms. Very long texts are read whole, and each of their
+terms counts once. A column named score is replaced; others, of any name, pass through. Without any labelled row every score is 0.
 Repeated rows score alike. Words are maximal runs of letters and digits of the lower-cased whole text.
 """
 
@@ -35,8 +38,10 @@ class ToxicityParameters:
     batch: int = 256
     rate: float = 3.0
     l1: float = 0.5  # times the root of the number of rows: a word's chance gradients add up to about that
-    factor_rate: float = 0.01
-    factor_l2: float = 0.5
+    factor_rate: float = 0.1
+    factor_start: float = 0.2  # deviation of the vectors' first values
+    factor_shrink: float = 0.02  # gradient of a row that a vector must have on the whole to stay
+    factor_rows: int = 20  # labelled rows that a term with a vector is in at least
     seed: int = 7
 
 
@@ -88,8 +93,9 @@ def _margin(ids, have, first, rows, bias, weights, factors):
 def train(found: list[np.ndarray], labels: np.ndarray, p: ToxicityParameters) -> FactorizationMachine:
     size, rng = 1 << p.bits, np.random.default_rng(p.seed)
     weights, z, n = np.zeros(size), np.zeros(size), np.zeros(size)
-    start = rng.normal(0, 0.02, (size, p.factors))
-    factors, seen = np.zeros((size, p.factors)), np.ones((size, p.factors))
+    rows = np.bincount(np.concatenate(found), minlength=size) if len(found) else np.zeros(size)
+    factors = np.where((rows >= p.factor_rows)[:, None], rng.normal(0, p.factor_start, (size, p.factors)), 0.0)
+    paired, seen = rows >= p.factor_rows, np.full((size, p.factors), 0.01)
     bias, bias_seen = -2.0, 1.0
     l1 = p.l1 * np.sqrt(len(found))
     for _ in range(p.epochs if len(found) else 0):
@@ -104,24 +110,25 @@ def train(found: list[np.ndarray], labels: np.ndarray, p: ToxicityParameters) ->
             bias_seen += error.sum() ** 2
             bias -= p.rate * error.sum() / np.sqrt(bias_seen)
             owner = np.repeat(np.arange(len(pick)), [len(found[i]) for i in pick])
-            terms, place = np.unique(ids, return_inverse=True)
-            g = np.bincount(place, error[owner], len(terms))
+            by_term = np.argsort(ids, kind="stable")
+            owner, own = owner[by_term], ids[by_term]
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            terms = own[start]
+            g = np.add.reduceat(error[owner], start)
             step = (np.sqrt(n[terms] + g * g) - np.sqrt(n[terms])) / p.rate
             z[terms] += g - step * weights[terms]
             n[terms] += g * g
             flat = np.abs(z[terms]) <= l1
             weights[terms] = np.where(flat, 0, -(z[terms] - np.sign(z[terms]) * l1) / ((1 + np.sqrt(n[terms])) / p.rate))
-            live = terms[~flat]
-            fresh = live[~factors[live].any(1)]
-            factors[fresh] = start[fresh]
-            factors[terms[flat]] = 0
-            keep = ~flat[place]
-            if keep.any():
-                spot = np.searchsorted(live, ids[keep])
-                for f in range(p.factors):
-                    grad = np.bincount(spot, error[owner[keep]] * (sums[owner[keep], f] - factors[ids[keep], f]), len(live)) + p.factor_l2 * factors[live, f]
-                    seen[live, f] += grad * grad
-                    factors[live, f] -= p.factor_rate * grad / np.sqrt(seen[live, f])
+            # vectors: a gradient step, then shortened (the proximal step of a penalty on their lengths)
+            grad = np.add.reduceat(error[owner, None] * sums[owner], start) - g[:, None] * factors[terms]
+            live = paired[terms]
+            grad, terms = grad[live] / len(pick), terms[live]
+            seen[terms] += grad * grad
+            rate = p.factor_rate / np.sqrt(seen[terms])
+            moved = factors[terms] - rate * grad
+            length = np.sqrt((moved * moved).sum(1, keepdims=True))
+            factors[terms] = moved * np.maximum(0, 1 - p.factor_shrink * rate.mean(1, keepdims=True) / np.maximum(length, 1e-12))
     return FactorizationMachine(float(bias), weights.astype(np.float32), factors.astype(np.float32), p.bits)
 
 

@@ -170,6 +170,25 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd.select("doc_id", "text"), none).where("score >= 0.5").count() == 0
 
 
+@pytest.mark.parametrize("rule", [lambda a, b: a != b, lambda a, b: a and b])
+def test_toxicity_learns_pairs(rule):
+    """Labels that neither term tells alone: the vectors carry them, and the linear part alone is far off for the first."""
+    rng, p = np.random.default_rng(5), toxicity.ToxicityParameters()
+    buckets = toxicity._Terms(p.bits)
+    has = rng.random((5000, 2)) < 0.5
+    terms = [toxicity._terms(" ".join([f"n{x}" for x in rng.integers(0, 500, 25)] + ["alpha"] * bool(a) + ["beta"] * bool(b)), buckets) for a, b in has]
+    labels = np.array([float(rule(a, b)) for a, b in has])
+    model = toxicity.train(terms[:4000], labels[:4000], p)
+
+    def right(factors):
+        z, _ = toxicity._margin(*toxicity._parts(terms[4000:]), 1000, model.bias, model.weights, factors)
+        return ((z > 0) == labels[4000:]).mean()
+
+    assert right(model.factors) > 0.97
+    if labels.mean() > 0.4:
+        assert right(np.zeros_like(model.factors)) < 0.8 and model.factors.any(1).sum() < 50
+
+
 def test_language(spark, odd, empty):
     found = language_id.op5_language_id(spark, SMALL).join(table(spark, SMALL, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
     assert found.where("lang = lang_pred").count() / found.count() > 0.97
