@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -212,6 +213,48 @@ def test_html(page, text):
     assert html_text.extract(page, {"word": 1.0, "": -2.0, "p": -0.2, "/p": -0.2, "a": -4.0, "li": -0.5}) == text
 
 
+def _body(inner):
+    return f"<html><head><title>t</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{inner}<footer>f g</footer></body></html>"
+
+
+PARAGRAPH = "<p>" + "word " * 40 + "</p>"
+
+
+def test_html_region_follows_the_weights():
+    """Without an article: what the scan takes depends on the weights, and structure only completes it."""
+    menu = "<ul>" + "<li><a href='x'>link</a></li>" * 6 + "</ul>"
+    page = _body("<h1>Title here</h1>" + PARAGRAPH + "<div class='newsletter'>" + "sub " * 60 + "</div>" + PARAGRAPH + "<p>End.</p>" + menu)
+    assert html_text.extract(page, {}).split() == ["Title", "here", *["word"] * 80, "End."]
+    assert html_text.extract(page, {".newsletter": 0.0}).split() == ["Title", "here", *["word"] * 40, *["sub"] * 60, *["word"] * 40, "End."]
+    assert html_text.extract(page, {"p": -60.0}).split() == ["Title", "here", *["word"] * 40]
+    assert html_text.extract(page, {"a": -0.1, "/a": -0.1, "li": -0.1, "/li": -0.1}).split()[-7:] == ["End.", *["link"] * 6]
+    two = _body("<div>" + PARAGRAPH + "</div><div class='teaser'>" + "buy " * 30 + "</div>")
+    assert "buy" in html_text.extract(two, {}) and "buy" not in html_text.extract(two, {".teaser": -5.0})
+
+
+def test_html_names_are_whole(spark):
+    page = "<article><h2 class='section-header'>A b</h2><p class='notice-text'>one two</p><div class='share-price'>x y</div><div class='ad'>no</div></article>"
+    assert html_text.extract(page, {}) == "A b\none two\nx y"
+    pages = [f"<body><p class='lead'>{'w ' * 30}</p><article>{PARAGRAPH}<p class='fine'>x</p></article></body>" for _ in range(20)]
+    weights = html_text.learn(spark.createDataFrame([(p,) for p in pages], "html string"), html_text.HtmlParameters())
+    assert weights[".lead"] <= html_text.OUT < weights[".fine"] and weights["word"] > 0 > weights["p"]
+
+
+@pytest.mark.parametrize("page", ["<a \"'" * 60_000, "<div>x" * 30_000 + "</b>" * 30_000, "<b>" + "<div>x" * 20_000 + "</b>" * 20_000, "<b>" * 20_000 + "<li></li>" * 20_000, "<a '>" * 60_000, "<" * 300_000, "<!--" * 60_000, "<p class=\"" * 30_000])
+def test_html_of_hostile_pages(page):
+    before = time.thread_time()
+    html_text.extract(page, {})
+    assert time.thread_time() - before < 5  # seconds; minutes where the time grows with the square
+
+
+def test_html_of_odd_rows(spark):
+    rows = [(None, None, None, "a"), (1, "u", "", "b"), (2, "u", _body("<article>" + "long " * 200_000 + "</article>"), "c"), (2, "u", "no tags", "d"), (2, "u", "no tags", "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    found = html_text.main_texts(pages, html_text.learn(pages, html_text.HtmlParameters()))
+    assert found.columns == ["page_id", "url", "html", "text"]
+    assert sorted(len(r.text) for r in found.collect()) == [0, 0, 7, 7, 999_999]
+
+
 def test_html_of_tables(spark):
     pages = table(spark, SMALL, "pages")
     assert html_text.op6_html_text(spark, SMALL).where("n_chars > 0").count() == pages.count()
