@@ -2,15 +2,17 @@
 
 Base counts (words, characters, symbols, repeated lines and words) decide by fixed limits. Beyond them, rules on rates
 of a text (symbols, capitals, marks, repeated lines and words, word length) reject above a cutoff, which labelled
-documents select, all of them: for each stratum and rule, cutoffs are tried from the most lenient on, and the last is used for which
-an exact binomial bound says that the share of good documents that it rejects is at most ``risk``. Testing in this
-fixed order needs no correction within a rule; across strata and rules the error is divided by their number
-(Bonferroni), so with probability 1 - error every stratum's rules all keep to the risk. A stratum with too few labelled
-documents to prove anything has no cutoff and rejects nothing by it.
+documents select, all of them. What is limited is a stratum's false rejection: the share of its good documents that any
+of the rules rejects. Each rule gets an equal part of that risk, as what several reject together is at most the sum. For
+each stratum and rule, cutoffs are tried from the most lenient on, and the last is used for which an exact binomial bound
+says that the share of good documents that it rejects is at most the rule's part. Testing in this fixed order needs no
+correction within a rule; across strata and rules the error is divided by their number (Bonferroni), so with probability
+1 - error every stratum keeps to the risk. A stratum with too few labelled documents to prove anything has no cutoff and
+rejects nothing by it (without any rejected, a rule of six needs about 1,230 good ones at a risk of 0.03 and four strata).
 
 Cases: null and empty texts have no words and fail the base. A null stratum is a stratum. Documents without a label,
-and labels without a document, are not used in choosing. Repeated rows are judged alike. Without labels only the base
-decides. Whole texts are read, however long.
+and labels without a document, are not used in choosing. Repeated rows are judged alike, and each counts. Without labels
+only the base decides. Whole texts are read, however long; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ RULES = ("symbols", "capitals", "marks", "same_lines", "same_words", "word_lengt
 
 @dataclass(frozen=True)
 class QualityParameters:
-    risk: float = 0.01  # share of a stratum's good documents that a rule may reject
-    error: float = 0.05  # probability that any rule exceeds its risk
+    risk: float = 0.03  # share of a stratum's good documents that its rules together may reject
+    error: float = 0.05  # probability that any stratum exceeds it
     steps: int = 50  # cutoffs tried for each rule, evenly from 1 down
     min_words: int = 50
     max_repeated: int = 50  # percent of words
@@ -133,8 +135,9 @@ def thresholds(good: DataFrame, p: QualityParameters) -> DataFrame:
     tested = grouped.crossJoin(F.broadcast(grouped.agg(F.count("*").alias("tests"))))  # one row
     cut = tested.select("stratum", "rule", "n", "tests", "at", F.explode(F.sequence(F.lit(1), F.lit(p.steps - 1))).alias("j"))
     rejected = F.aggregate(F.map_entries("at"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("j"), e["value"]).otherwise(0))
-    bound = cut.withColumn("k", rejected).where(F.col("k") <= p.risk * F.col("n"))
-    proven = bound.where(binomial_cdf(F.col("k"), F.col("n"), p.risk) <= p.error / F.col("tests"))
+    part = p.risk / len(RULES)
+    bound = cut.withColumn("k", rejected).where(F.col("k") <= part * F.col("n"))
+    proven = bound.where(binomial_cdf(F.col("k"), F.col("n"), part) <= p.error / F.col("tests"))
     # k only falls as the cutoff rises, so all more lenient cutoffs are proven too
     return proven.groupBy("stratum", "rule").agg((F.min("j") / p.steps).alias("cutoff"))
 

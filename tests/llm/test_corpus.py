@@ -401,3 +401,58 @@ def test_language_stage_rejects_and_corrects(spark):
     assert found[50] == "de" and 52 not in found and 53 not in found and len(found) == 42 and found[0] == "en"
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert pipeline.language(spark, unlabelled, SMALL).count() == 42
+
+
+def _binomial_cdf(k, n, p):
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+
+def _cutoffs(rows, p):
+    """Brute force: by stratum and rule, the last of the cutoffs from the most lenient on that is proven."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r["stratum"]].append(r)
+    out = {}
+    for stratum, own in by.items():
+        for rule in quality.RULES:
+            steps = [min(p.steps, math.ceil(r[rule] * p.steps - 1e-9)) for r in own]
+            for j in range(p.steps - 1, 0, -1):
+                k = sum(x > j for x in steps)
+                if _binomial_cdf(k, len(own), p.risk / 6) > p.error / (6 * len(by)):
+                    break
+                out[stratum, rule] = j / p.steps
+    return out
+
+
+def test_quality_cutoffs_are_the_proven_ones(spark):
+    rng, p = np.random.default_rng(8), quality.QualityParameters()
+    rows = []
+    for stratum, n in (("en", 5000), ("de", 1500), (None, 1100), ("fr", 40)):
+        x = rng.beta([1, 2, 1, 1, 2, 5], [60, 30, 50, 400, 20, 20], (n, 6))
+        rows += [(stratum, *map(float, r)) for r in x]
+    good = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{r} double" for r in quality.RULES))
+    found = {(r.stratum, r.rule): r.cutoff for r in quality.thresholds(good, p).collect()}
+    expected = _cutoffs([dict(zip(("stratum", *quality.RULES), r, strict=True)) for r in rows], p)
+    assert found == pytest.approx(expected) and {s for s, _ in found} == {"en", "de"} and len(found) == 12
+    # on new documents of the same kind, a stratum's rules together keep to its risk
+    fresh = rng.beta([1, 2, 1, 1, 2, 5], [60, 30, 50, 400, 20, 20], (100_000, 6))
+    assert 0 < (fresh > [found["en", r] for r in quality.RULES]).any(1).mean() <= p.risk
+
+
+def test_quality_verdict_is_that_of_the_cutoffs(spark):
+    rng, p = np.random.default_rng(9), quality.QualityParameters(risk=0.3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(900):
+        text = list(rng.choice(words, rng.integers(40, 120)))
+        for _ in range(rng.integers(0, 12) if i % 10 else 40):
+            text[rng.integers(len(text))] = ["#$%", "LOUD", "what?!"][rng.integers(3)]
+        rows.append((i, " ".join(text), "en" if i % 3 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(900) if i % 7], "doc_id long, quality int")
+    measures = [r.asDict() for r in quality.measured(docs).collect()]
+    failed = {m["doc_id"] for m in measures if m["n_words"] < 50 or 2 * m["n_repeat_words"] > m["n_words"]}
+    cuts = _cutoffs([m for m in measures if m["doc_id"] % 10 and m["doc_id"] % 7 and m["doc_id"] not in failed], p)
+    kept = {m["doc_id"] for m in measures if m["doc_id"] not in failed and all(m[r] <= cuts.get((m["stratum"], r), 1) for r in quality.RULES)}
+    assert {r.doc_id for r in quality.judge(docs, labels, p).where("kept").collect()} == kept
+    assert len(cuts) > 6 and len(kept) < 900 - len(failed)
