@@ -1,18 +1,32 @@
-"""Registered queries of the assimilation engine, and the SQL that their results are compared with."""
+"""The test system's tables, the registry, and queries on observations, grids, ensembles and reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import maths as M
-from .operators import kernel, prep, spatial
-from .sources import observations as sources
+from ..functions import maths as M
+from ..operators import diag, kernel, prep, spatial
+from ..operators.grid import Axis, Grid, Layers
+from ..sources import observations as sources
 
 MEMBERS = 64
 BOXES = ((0.0, 40.0, -60.0, 60.0), (100.0, 120.0, -30.0, 30.0))
-REGIONS = [("global", 0.0, 360.0, -90.0, 90.0), ("north", 0.0, 360.0, 20.0, 90.0), ("tropics", 0.0, 360.0, -20.0, 20.0), ("south", 0.0, 360.0, -90.0, -20.0), ("box", 150.0, 250.0, -60.0, 60.0)]
+REGIONS = [("global", 0.0, 360.0, -90.0, 90.0), ("north", 0.0, 360.0, 20.0, 90.0), ("tropics", 0.0, 360.0, -20.0, 20.0), ("south", 0.0, 360.0, -90.0, -20.0), ("box", 150.0, 250.0, -60.0, 60.0), ("across", 300.0, 40.0, -60.0, 60.0)]
 LAYERS = [("0-50", 0.0, 50.0), ("50-500", 50.0, 500.0), ("500-9999", 500.0, 9999.0)]
+NI, NJ, NK = 36, 17, 4
+CENTRES, EDGES = (25.0, 100.0, 300.0, 700.0), (0.0, 50.0, 150.0, 450.0, 950.0)
+
+
+def nodes(spark: SparkSession) -> DataFrame:
+    """The test grid's nodes: 36 x 17 cells of 10 degrees, 4 layers, and land where (7 i + 3 j) % 5 is 0."""
+    i, j = (F.col("id") % NI).cast("int"), F.floor(F.col("id") / NI).cast("int")
+    out = spark.range(NI * NJ).select(j.alias("j"), i.alias("i"), ((7 * i + 3 * j) % 5).cast("int").alias("numlevels"))
+    return out.withColumn("depth", M.numbers(EDGES)[F.col("numlevels")])
+
+
+def grid(spark: SparkSession, stride: int = 1, name: str = "grid") -> Grid:
+    return Grid(name, Axis(tuple(5.0 + 10 * i for i in range(NI)), cyclic=True), Axis(tuple(-80.0 + 10 * j for j in range(NJ))), Layers("z", CENTRES, EDGES), nodes(spark), stride)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -21,7 +35,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _obs(spark: SparkSession, d: str) -> DataFrame:
-    return prep.on_grid(sources.events(spark, d))
+    return grid(spark).mapped(sources.events(spark, d))
 
 
 def _good(spark: SparkSession, d: str) -> DataFrame:
@@ -53,20 +67,24 @@ _OBS = """obs0 AS (SELECT event_id, user_id, event_type, value, CAST(json_extrac
 obs AS (SELECT event_id AS id, event_type AS type, 'EVENTS' AS product, concat('I', user_id % 7) AS instrument, CAST(floor(us / 86400e6) AS BIGINT) AS file, user_id % 11 AS batch, value,
  0.5::DOUBLE + (k % 10) * 0.1::DOUBLE AS estd, (user_id * 37 + k * 3) % 360 + 0.5::DOUBLE AS lon, k * 1.6::DOUBLE - 79.2::DOUBLE AS lat,
  CASE WHEN event_type IN ('view','click','error') THEN 0::DOUBLE ELSE (event_id % 40) * 25.0::DOUBLE END AS depth, us / 86400e6::DOUBLE - 19738::DOUBLE AS time FROM obs0),
-g0 AS (SELECT *, CASE WHEN (lon - 5) / 10 < 0 THEN (lon - 5) / 10 + 36 ELSE (lon - 5) / 10 END AS fi, CASE WHEN (lat + 80) / 10 >= -0.5 AND (lat + 80) / 10 <= 16.5 THEN (lat + 80) / 10 END AS fj,
- CASE WHEN depth < 0 THEN -0.5::DOUBLE WHEN depth < 25 THEN 0 - 0.5 * (25 - depth) / 25::DOUBLE WHEN depth <= 50 THEN 0 + 0.5 * (depth - 25) / 25::DOUBLE WHEN depth < 100 THEN 1 - 0.5 * (100 - depth) / 50::DOUBLE WHEN depth <= 150 THEN 1 + 0.5 * (depth - 100) / 50::DOUBLE
+g0 AS (SELECT *, (CASE WHEN lon < 5 THEN lon + 360 ELSE lon END - 5) / 10 AS fi, CASE WHEN lat >= -80 AND lat < 80 THEN (lat + 80) / 10 END AS fj,
+ CASE WHEN depth <= 0 THEN -0.5::DOUBLE WHEN depth < 25 THEN 0 - 0.5 * (25 - depth) / 25::DOUBLE WHEN depth <= 50 THEN 0 + 0.5 * (depth - 25) / 25::DOUBLE WHEN depth < 100 THEN 1 - 0.5 * (100 - depth) / 50::DOUBLE WHEN depth <= 150 THEN 1 + 0.5 * (depth - 100) / 50::DOUBLE
   WHEN depth < 300 THEN 2 - 0.5 * (300 - depth) / 150::DOUBLE WHEN depth <= 450 THEN 2 + 0.5 * (depth - 300) / 150::DOUBLE WHEN depth < 700 THEN 3 - 0.5 * (700 - depth) / 250::DOUBLE WHEN depth <= 950 THEN 3 + 0.5 * (depth - 700) / 250::DOUBLE END AS fk FROM obs),
-g1 AS (SELECT *, CAST((7 * (CAST(floor(fi + 0.5) AS BIGINT) % 36) + 3 * CAST(floor(fj + 0.5) AS BIGINT)) % 5 AS INT) AS numlevels FROM g0),
-grid AS (SELECT *, CASE numlevels WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 50 WHEN 2 THEN 150 WHEN 3 THEN 450 WHEN 4 THEN 950 END AS model_depth FROM g1)"""
+gn AS (SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, CAST((7 * i + 3 * j) % 5 AS INT) AS nl, [0.0, 50.0, 150.0, 450.0, 950.0][(7 * i + 3 * j) % 5 + 1]::DOUBLE AS dep FROM range(17) a(j), range(36) b(i)),
+c1 AS (SELECT id, CAST((CAST(floor(fi) AS INT) + di) % 36 AS INT) AS i, CAST(LEAST(16, CAST(floor(fj) AS INT) + dj) AS INT) AS j, CASE WHEN di = 1 THEN fi - floor(fi) ELSE 1 - (fi - floor(fi)) END * CASE WHEN dj = 1 THEN fj - floor(fj) ELSE 1 - (fj - floor(fj)) END AS wt FROM g0, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj) WHERE fi IS NOT NULL AND fj IS NOT NULL),
+c2 AS (SELECT id, SUM(CASE WHEN nl > 0 THEN wt * dep END) / SUM(CASE WHEN nl > 0 AND wt > 0 THEN wt END) AS model_depth, MAX(CASE WHEN wt > 0 THEN nl END) AS most, MIN(CASE WHEN wt > 0 THEN nl END) AS least FROM c1 JOIN gn USING (i, j) GROUP BY id),
+grid AS (SELECT g0.*, model_depth, CASE WHEN fi IS NULL OR fj IS NULL THEN 'GRID' WHEN most = 0 THEN 'LAND' WHEN fk IS NULL THEN 'GRID' WHEN most <= floor(fk) THEN 'LAND' WHEN least <= floor(fk) AND depth > model_depth THEN 'LAND' ELSE 'OK' END AS map_status FROM g0 LEFT JOIN c2 USING (id))"""
 
 
-def _status_sql(window=(-15, 15), low=None, high=None, min_depth=0, boxes=(), stride=1) -> str:
-    c = [f"WHEN NOT (time >= {window[0]} AND time < {window[1]}) THEN 'WINDOW'", "WHEN value IS NULL OR isnan(value) THEN 'RANGE'"]
+def _status_sql(window=(-15, 15), low=None, high=None, min_depth=None, boxes=(), stride=1, domain=None, max_depth=None) -> str:
+    c = ["WHEN map_status <> 'OK' THEN map_status", f"WHEN NOT (time >= {window[0]} AND time < {window[1]}) THEN 'WINDOW'", "WHEN value IS NULL OR isnan(value) THEN 'RANGE'"]
     c += [f"WHEN value < {low} THEN 'RANGE'"] if low is not None else []
     c += [f"WHEN value > {high} THEN 'RANGE'"] if high is not None else []
-    c += ["WHEN fi IS NULL OR fj IS NULL OR fk IS NULL THEN 'GRID'", "WHEN numlevels = 0 OR depth > model_depth THEN 'LAND'"]
+    c += [f"WHEN lon <= {domain[0]} OR lon >= {domain[1]} OR lat <= {domain[2]} OR lat >= {domain[3]} OR depth < {domain[4]} OR depth > {domain[5]} THEN 'DOMAIN'"] if domain else []
+    c += ["WHEN model_depth IS NULL OR model_depth = 0 OR depth > model_depth THEN 'LAND'"]
     c += [f"WHEN id % {stride} <> 0 THEN 'THINNED'"] if stride > 1 else []
-    c += [f"WHEN model_depth < {min_depth} THEN 'SHALLOW'"]
+    c += [f"WHEN model_depth < {min_depth} THEN 'SHALLOW'"] if min_depth is not None else []
+    c += [f"WHEN model_depth > {max_depth} THEN 'SHALLOW'"] if max_depth is not None else []
     c += [f"WHEN lon BETWEEN {b[0]} AND {b[1]} AND lat BETWEEN {b[2]} AND {b[3]} THEN 'EXCLUDED'" for b in boxes]
     return f"st AS (SELECT *, CASE {' '.join(c)} ELSE 'OK' END AS status FROM grid)"
 
@@ -129,14 +147,14 @@ def time_slots_and_longitudes(spark, d):
 # quality, errors, super-observations -------------------------------------------------------------------------------
 
 
-@query(f"WITH {_OBS}, {_status_sql((-10, 10), 5, 95, 60, BOXES, 3)} SELECT id, type, status, {_r('fi', 'fj', 'fk')} FROM st")
+@query(f"WITH {_OBS}, {_status_sql((-10, 10), 5, 95, 60, BOXES, 3, (20.0, 340.0, -70.0, 75.0, 0.0, 900.0), 700)} SELECT id, type, status, {_r('fi', 'fj', 'fk')} FROM st")
 def first_failing_check(spark, d):
-    return prep.with_status(_obs(spark, d), (-10.0, 10.0), 5.0, 95.0, 60.0, BOXES, 3).select("id", "type", "status", "fi", "fj", "fk")
+    return prep.with_status(_obs(spark, d), (-10.0, 10.0), 5.0, 95.0, 60.0, 700.0, BOXES, 3, (20.0, 340.0, -70.0, 75.0, 0.0, 900.0)).select("id", "type", "status", "fi", "fj", "fk")
 
 
-@query(f"WITH {_OBS}, {_status_sql((-10, 10), 5, 95, 60, BOXES, 3)} SELECT COALESCE(type, 'all') AS type, COALESCE(status, 'all') AS status, COUNT(*) AS n, ROUND(MIN(time), 6) AS first, ROUND(MAX(time), 6) AS last FROM st GROUP BY CUBE (type, status)")
+@query(f"WITH {_OBS}, {_status_sql((-10, 10), 5, 95, 60, BOXES, 3, (20.0, 340.0, -70.0, 75.0, 0.0, 900.0), 700)} SELECT COALESCE(type, 'all') AS type, COALESCE(status, 'all') AS status, COUNT(*) AS n, ROUND(MIN(time), 6) AS first, ROUND(MAX(time), 6) AS last FROM st GROUP BY CUBE (type, status)")
 def status_counts(spark, d):
-    out = prep.with_status(_obs(spark, d), (-10.0, 10.0), 5.0, 95.0, 60.0, BOXES, 3).cube("type", "status").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+    out = prep.with_status(_obs(spark, d), (-10.0, 10.0), 5.0, 95.0, 60.0, 700.0, BOXES, 3, (20.0, 340.0, -70.0, 75.0, 0.0, 900.0)).cube("type", "status").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
     return out.select(F.coalesce("type", F.lit("all")).alias("type"), F.coalesce("status", F.lit("all")).alias("status"), "n", "first", "last")
 
 
@@ -148,58 +166,152 @@ def error_chain(spark, d):
 
 
 _CELLS = _GOOD + ", cells AS (SELECT *, CAST(floor(floor(fi + 0.5) / 3) AS INT) AS ci, CAST(floor(floor(fj + 0.5) / 3) AS INT) AS cj, CAST(floor(fk + 0.5) AS INT) AS ck, 1 / (estd * estd) AS w FROM good)"
-_SUPER = """SELECT type, ci, cj, ck, MIN(id) AS id, ROUND(SUM(value * w) / SUM(w), 6) AS value, ROUND(GREATEST(sqrt(1 / SUM(w)), 0.2), 6) AS estd,
+_SUPER = """SELECT type, instrument, ci, cj, ck, MIN(id) AS id, ROUND(SUM(value * w) / SUM(w), 6) AS value, ROUND(GREATEST(sqrt(1 / SUM(w)), 0.2), 6) AS estd,
  ROUND(SUM(lat * w) / SUM(w), 6) AS lat, ROUND(SUM(depth * w) / SUM(w), 6) AS depth, ROUND(SUM(time * w) / SUM(w), 6) AS time,
- CASE WHEN MIN(instrument) = MAX(instrument) THEN MIN(instrument) END AS instrument, CASE WHEN MIN(batch) = MAX(batch) THEN MIN(batch) END AS batch, COUNT(*) AS nobs FROM cells GROUP BY type, ci, cj, ck"""
+ ROUND(SUM(model_depth * w) / SUM(w), 6) AS model_depth, ROUND(((CASE WHEN MAX(lon) - MIN(lon) > 180 THEN SUM((CASE WHEN lon > 185 THEN lon - 360 ELSE lon END) * w) / SUM(w) ELSE SUM(lon * w) / SUM(w) END) - 5 + 720) % 360 + 5, 6) AS lon, CASE WHEN MIN(batch) = MAX(batch) THEN MIN(batch) END AS batch, COUNT(*) AS nobs FROM cells GROUP BY type, instrument, ci, cj, ck"""
 
 
 @query(f"{_CELLS} {_SUPER}")
 def superobservations(spark, d):
-    return prep.superobs(prep.with_cells(_good(spark, d), 3), ["type", "ci", "cj", "ck"], 0.2).select("type", "ci", "cj", "ck", "id", "value", "estd", "lat", "depth", "time", "instrument", "batch", "nobs")
+    rows = prep.with_cells(_good(spark, d), 3)
+    out = prep.superobs(rows, prep.superob_keys(rows), 0.2, base=5.0)
+    return out.select("type", "instrument", "ci", "cj", "ck", "id", "value", "estd", "lat", "depth", "time", "model_depth", "lon", "batch", "nobs")
 
 
-@query(f"{_CELLS.replace('1 / (estd * estd) AS w', 'var_samp(value) OVER (PARTITION BY type, floor(floor(fi + 0.5) / 3), floor(floor(fj + 0.5) / 3), floor(fk + 0.5)) AS sv')}, c2 AS (SELECT *, 1 / GREATEST(estd * estd, COALESCE(sv, 0)) AS w FROM cells) SELECT type, ci, cj, ck, ROUND(SUM(value * w) / SUM(w), 5) AS value, ROUND(sqrt(1 / SUM(w)), 5) AS estd FROM c2 GROUP BY type, ci, cj, ck")
+@query(f"{_CELLS.replace('1 / (estd * estd) AS w', 'var_samp(value) OVER (PARTITION BY type, floor(floor(fi + 0.5) / 3), floor(floor(fj + 0.5) / 3), floor(fk + 0.5)) AS sv')}, weighed AS (SELECT *, 1 / GREATEST(estd * estd, COALESCE(sv, 0)) AS w FROM cells) SELECT type, ci, cj, ck, ROUND(SUM(value * w) / SUM(w), 5) AS value, ROUND(sqrt(1 / SUM(w)), 5) AS estd FROM weighed GROUP BY type, ci, cj, ck")
 def superobs_subgrid_variance(spark, d):
     return rounded(prep.superobs(prep.with_cells(_good(spark, d), 3), ["type", "ci", "cj", "ck"], subgrid=True).select("type", "ci", "cj", "ck", "value", "estd"), 5)
 
 
-@query(f"{_GOOD} SELECT type, ROUND(lon, 6) AS lon, ROUND(lat, 6) AS lat, ROUND(depth, 6) AS depth, MIN(id) AS id, ROUND(AVG(value), 6) AS value, ROUND(AVG(time), 6) AS time, ROUND(arg_min(estd, id), 6) AS estd, COUNT(*) AS nobs FROM good GROUP BY type, good.lon, good.lat, good.depth")
+def _thin_sql(kind: str, by: str, means: str) -> str:
+    return f"SELECT '{kind}' AS kind, MIN(id) AS id, ROUND(AVG(value), 6) AS value, ROUND(AVG(time), 6) AS time, {means}, ROUND(arg_min(estd, id), 6) AS estd, COUNT(*) AS nthin FROM cells GROUP BY type, ci, cj, ck{by}"
+
+
+@query(_CELLS + " " + " UNION ALL ".join([_thin_sql("XYZ", ", instrument, lon, lat, depth", "ROUND(arg_min(depth, id), 6) AS depth, ROUND(arg_min(lat, id), 6) AS lat"), _thin_sql("XY", ", instrument, lon, lat", "ROUND(AVG(depth), 6) AS depth, ROUND(arg_min(lat, id), 6) AS lat"), _thin_sql("CELL", "", "ROUND(AVG(depth), 6) AS depth, ROUND(AVG(lat), 6) AS lat")]))
 def location_thinning(spark, d):
-    return prep.thinned(_good(spark, d), ["type", "lon", "lat", "depth"])
+    rows = prep.with_cells(_good(spark, d), 3)
+    parts = [prep.thinned(rows, ["type", "ci", "cj", "ck"], kind).select(F.lit(kind).alias("kind"), "id", "value", "time", "depth", "lat", "estd", "nthin") for kind in ("XYZ", "XY", "CELL")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(f"WITH {_OBS} SELECT id, type FROM (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS rn FROM obs) WHERE rn % 4 = 0")
+@query(f"WITH {_OBS} SELECT id, type FROM (SELECT id, type, row_number() OVER (ORDER BY id) - 1 AS rn FROM obs) WHERE rn % 4 = 0")
 def every_nth_row(spark, d):
-    return prep.every_nth(sources.events(spark, d), "type", 4).select("id", "type")
+    return prep.every_nth(sources.events(spark, d), 4).select("id", "type")
+
+
+@query(f"{_CELLS}, sob AS (SELECT type, instrument, ci, cj, ck, MIN(id) AS sob_id FROM cells GROUP BY ALL) SELECT cells.id, sob.sob_id FROM cells JOIN sob USING (type, instrument, ci, cj, ck)")
+def primary_to_superob(spark, d):
+    """Which super-observation each good row went into."""
+    rows = prep.with_cells(_good(spark, d), 3)
+    keys = prep.superob_keys(rows)
+    return prep.with_sob_id(rows, prep.superobs(rows, keys), keys).select("id", "sob_id")
+
+
+@query(f"{_GOOD} SELECT type, COUNT(DISTINCT (lon, lat)) AS places FROM good GROUP BY type")
+def profile_places(spark, d):
+    return prep.profile_places(_good(spark, d))
+
+
+@query(f"WITH {_OBS}, {_status_sql((-10, 10))} SELECT id, CASE WHEN status = 'OK' AND NOT v > 0 THEN 'RANGE' ELSE status END AS status, ROUND(CASE WHEN status = 'OK' AND v > 0 THEN log10(v) END, 6) AS log FROM (SELECT *, value - 20 AS v FROM st)")
+def log_transform(spark, d):
+    obs = prep.with_status(_obs(spark, d).withColumn("value", F.col("value") - 20), (-10.0, 10.0), log=True)
+    return obs.select("id", "status", F.when(F.col("status") == "OK", F.col("value")).alias("log"))
+
+
+@query(f"WITH {_OBS}, {_status_sql((-10, 10))} SELECT id, CASE WHEN status = 'OK' AND (3 * CAST(floor(fi) AS INT) + CAST(floor(fj) AS INT)) % 7 = 0 THEN 'EXCLUDED' ELSE status END AS status FROM st")
+def exclude_mask(spark, d):
+    mask = nodes(spark).where((3 * F.col("i") + F.col("j")) % 7 == 0).select("j", "i")
+    return prep.with_status(_obs(spark, d), (-10.0, 10.0), mask=mask).select("id", "status")
+
+
+@query(f"{_GOOD} SELECT id FROM good WHERE type IN ('view', 'purchase')")
+def domain_visibility(spark, d):
+    """Types seen from domain A: those of all domains or of A that aren't for statistics only."""
+    rows = [("view", None, False), ("click", ["B"], False), ("error", None, True), ("purchase", ["A", "B"], False), ("signup", ["A"], True)]
+    types = spark.createDataFrame(rows, "type string, domains array<string>, stats_only boolean")
+    return prep.visible(_good(spark, d), types, "A").select("id")
 
 
 # grids ---------------------------------------------------------------------------------------------------------------
 
 _NODES = [-80.0, -60.0, -45.0, -30.0, -20.0, -10.0, 0.0, 10.0, 20.0, 30.0, 45.0, 60.0, 80.0]
+_STRETCHED = [-75.0, -65.0, -50.0, -30.0, -5.0, 20.0, 40.0, 55.0, 65.0, 73.0]
 
 
-def _irregular_sql() -> str:
-    n = _NODES
-    edges = [n[0] - (n[1] - n[0]) / 2, *[(a + b) / 2 for a, b in zip(n, n[1:])], n[-1] + (n[-1] - n[-2]) / 2]  # noqa: B905
-    parts = [f"WHEN lat >= {edges[i]} AND lat < {n[i]} THEN {i} - 0.5::DOUBLE * ({n[i]} - lat) / {n[i] - edges[i]} WHEN lat >= {n[i]} AND lat < {edges[i + 1]} THEN {i} + 0.5::DOUBLE * (lat - {n[i]}) / {edges[i + 1] - n[i]}" for i in range(len(n))]
-    return f"WITH {_OBS} SELECT id, ROUND(CASE {' '.join(parts)} END, 6) AS fj FROM obs"
+def _irregular_sql(n: list[float], x: str) -> str:
+    """A cell's number and the part of its width that lies between its node and x; edges leave each node in the middle, or half way."""
+    edges = [1.5 * n[0] - 0.5 * n[1]]
+    for v in n:
+        edges.append(2 * v - edges[-1])
+    if any(b <= a for a, b in zip(edges, edges[1:])):  # noqa: B905
+        edges = [1.5 * n[0] - 0.5 * n[1], *[(a + b) / 2 for a, b in zip(n, n[1:])], 1.5 * n[-1] - 0.5 * n[-2]]  # noqa: B905
+    cells = ", ".join(f"({i}, {n[i]}::DOUBLE, {edges[i]}::DOUBLE, {edges[i + 1]}::DOUBLE)" for i in range(len(n)))
+    return f"(SELECT min(c + ({x} - v) / (high - low)) FROM (VALUES {cells}) t(c, v, low, high) WHERE ({x} >= low AND {x} < high) OR ({x} = high AND c = {len(n) - 1}))"
 
 
-@query(_irregular_sql())
+@query(f"WITH {_OBS} SELECT id, ROUND({_irregular_sql(_NODES, 'lat * 1.2')}, 6) AS fj, ROUND({_irregular_sql(_STRETCHED, 'lat')}, 6) AS fs FROM obs")
 def irregular_axis(spark, d):
-    return sources.events(spark, d).select("id", M.irregular_index(F.col("lat"), _NODES).alias("fj"))
+    return sources.events(spark, d).select("id", Axis(tuple(_NODES)).index(F.col("lat") * 1.2).alias("fj"), Axis(tuple(_STRETCHED)).index(F.col("lat")).alias("fs"))
+
+
+@query(f"WITH {_OBS} SELECT id, ROUND(CASE WHEN lat >= -60 AND lat < 60 THEN (lat + 60) / 10 END, 6) AS open, ROUND((CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END + 180) / 20, 6) AS closed, ROUND(CASE WHEN lon >= 30 AND lon < 200 THEN (200 - lon) / 10 WHEN lon = 200 THEN 0 END, 6) AS falling FROM obs")
+def regular_axes(spark, d):
+    """An open axis, null beyond its ends; one whose last node is its first; and a falling one."""
+    lat, lon = F.col("lat"), F.col("lon")
+    axes = Axis(tuple(-60.0 + 10 * i for i in range(13))), Axis(tuple(-180.0 + 20 * i for i in range(19)), cyclic=True), Axis(tuple(200.0 - 10 * i for i in range(18)))
+    return sources.events(spark, d).select("id", axes[0].index(lat).alias("open"), axes[1].index(lon).alias("closed"), axes[2].index(lon).alias("falling"))
+
+
+@query(f"WITH {_OBS} SELECT id, ROUND(5 + 10 * fi, 6) AS lon, ROUND(lat, 6) AS lat FROM g0 WHERE fj IS NOT NULL")
+def grid_coordinates(spark, d):
+    g = grid(spark)
+    return g.located(g.indexed(sources.events(spark, d)).where("fj is not null").drop("lon", "lat")).select("id", "lon", "lat")
+
+
+@query("SELECT id, ROUND(CASE WHEN z <= 0 THEN -0.5 WHEN z < 25 THEN -0.5 + z / 50 ELSE NULL END, 6) AS top, ROUND((z - 25) / 75, 6) AS zt, ROUND(CASE WHEN z > 950 THEN NULL WHEN z <= 0 THEN 3.5 WHEN z < 25 THEN 3.5 - z / 50 END, 6) AS rising FROM (SELECT event_id AS id, (event_id % 21) * 5.0::DOUBLE - 3 AS z FROM events) WHERE z < 25")
+def layer_indices(spark, d):
+    """Layers from the surface, between centres, and from the bottom up."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), ((F.col("event_id") % 21) * F.lit(5.0) - 3).alias("z")).where("z < 25")
+    z = F.col("z")
+    down, up = Layers("z", CENTRES, EDGES), Layers("z", CENTRES[::-1], EDGES[::-1], to_surface=True)
+    return rows.select("id", down.index(z).alias("top"), Layers("zt", CENTRES).index(z).alias("zt"), up.index(z).alias("rising"))
+
+
+@query(f"WITH {_OBS} SELECT id, ROUND(depth, 4) AS z, ROUND(depth, 4) AS z_up, ROUND(depth, 4) AS z_centres FROM obs WHERE depth > 0 AND depth <= 950")
+def layer_depths(spark, d):
+    """There and back: the depth of a depth's fractional layer."""
+    rows, z = sources.events(spark, d).where("depth > 0 and depth <= 950"), F.col("depth")
+    down, up, centres = Layers("z", CENTRES, EDGES), Layers("z", CENTRES[::-1], EDGES[::-1], to_surface=True), Layers("zt", CENTRES)
+    return rows.select("id", *[F.round(x.depth(x.index(z)), 4).alias(n) for n, x in (("z", down), ("z_up", up), ("z_centres", centres))])
+
 
+@query("WITH d AS (SELECT event_id AS id, (event_id % 100) * 10.0::DOUBLE - 20 AS depth FROM events) SELECT id, CAST(CASE WHEN depth <= 0 THEN 0 WHEN depth <= 50 THEN 1 WHEN depth <= 150 THEN 2 WHEN depth <= 450 THEN 3 WHEN depth <= 950 THEN 4 END AS INT) AS levels, CAST(CASE WHEN depth <= 0 THEN 0 ELSE 4 END AS INT) AS terrain FROM d WHERE depth <= 950")
+def levels_from_depth(spark, d):
+    from ..operators.grid import derived_levels
 
-@query(f"WITH {_OBS} SELECT id, {_r('fi', 'fj', 'fk', 'model_depth')}, numlevels FROM grid")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), ((F.col("event_id") % 100) * F.lit(10.0) - 20).alias("depth")).where("depth <= 950")
+    one = derived_levels(rows, Layers("z", CENTRES, EDGES)).withColumnRenamed("numlevels", "levels")
+    return derived_levels(one, Layers("sigma", ((0.0, 0.0),) * 4, ((0.0, 0.0),) * 5)).select("id", "levels", F.col("numlevels").cast("int").alias("terrain"))
+
+
+@query(f"WITH {_OBS} SELECT id, most = 0 OR (CASE WHEN ceil(fk) = floor(fk) THEN ceil(fk) + 1 ELSE ceil(fk) END > 0 AND most < CASE WHEN ceil(fk) = floor(fk) THEN ceil(fk) + 1 ELSE ceil(fk) END) AS island FROM g0 JOIN c2 USING (id) WHERE fk IS NOT NULL")
+def islands(spark, d):
+    from ..operators.grid import corner_weights, island
+
+    rows = _obs(spark, d).where("corner_levels is not null and fk is not null")
+    return rows.select("id", island(F.col("corner_levels"), corner_weights(F.col("fi"), F.col("fj")), F.col("fk")).alias("island"))
+
+
+@query(f"WITH {_OBS} SELECT id, {_r('fi', 'fj', 'fk', 'model_depth')}, map_status FROM grid")
 def grid_mapping(spark, d):
-    return _obs(spark, d).select("id", "fi", "fj", "fk", "model_depth", "numlevels")
+    return _obs(spark, d).select("id", "fi", "fj", "fk", "model_depth", "map_status")
 
 
-@query(f"WITH {_OBS} SELECT id, ROUND(h * (20 * -0.5 + h * -0.3) / (20 + h), 6) AS z0, ROUND(h * (20 * -0.1 + h * -0.05) / (20 + h), 6) AS z1, ROUND(10 + 0.25 * (h - 10), 6) AS p0, ROUND(5 + 0.75 * (h - 10), 6) AS p1 FROM (SELECT id, model_depth + 1 AS h FROM grid WHERE model_depth IS NOT NULL)")
+@query(f"WITH {_OBS} SELECT id, ROUND(h * (20 * -0.5 + h * -0.3) / (20 + h), 6) AS z0, ROUND(h * (20 * -0.1 + h * -0.05) / (20 + h), 6) AS z1, ROUND(10 + 0.25 * (h - 10), 6) AS p0, ROUND(5 + 0.75 * (h - 10), 6) AS p1, ROUND(h * -0.3, 6) AS plain, ROUND(5 + 0.75 * (h - 10), 6) AS between FROM (SELECT id, model_depth + 1 AS h FROM grid WHERE model_depth IS NOT NULL)")
 def terrain_layers(spark, d):
     h = F.col("model_depth") + 1
     z, p = M.sigma_layers(h, [-0.5, -0.1], [-0.3, -0.05], 20.0), M.hybrid_layers(F.lit(10.0), h, [10.0, 5.0], [0.25, 0.75])
-    return _obs(spark, d).where("model_depth is not null").select("id", z[0].alias("z0"), z[1].alias("z1"), p[0].alias("p0"), p[1].alias("p1"))
+    return _obs(spark, d).where("model_depth is not null").select("id", z[0].alias("z0"), z[1].alias("z1"), p[0].alias("p0"), p[1].alias("p1"), M.sigma_layers(h, [-0.5], [-0.3], 0.0)[0].alias("plain"), Layers("hybrid", ((5.0, 0.75),), ((5.0, 0.75),)).arrays(p1=h, p2=F.lit(10.0))[0][0].alias("between"))
 
 
 def _field(spark) -> DataFrame:
@@ -249,10 +361,12 @@ def enoi_update(spark, d):
     return e.select("n", F.round(48 + 5.0 * (F.col("n") % 7) + M.dot(M.anomalies(F.col("e"), F.col("m")), w), 5).alias("analysis"))
 
 
-@query(f"{_ENS}, s AS (SELECT n, list_sum(list_transform(e, lambda x: (x - list_sum(e) / 64) * (x - list_sum(e) / 64))) AS v FROM ens) SELECT n, ROUND(LEAST(1.1, 0.5 * sqrt(v / (v * (0.5 + (n % 5) / 10.0::DOUBLE))) + 0.5), 6) AS inflation FROM s")
+@query(f"{_ENS}, s AS (SELECT n, list_sum(list_transform(e, lambda x: (x - list_sum(e) / 64) * (x - list_sum(e) / 64))) AS f, CASE n % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 4.0 ELSE 0.5 + (n % 5) / 10.0 END AS share FROM ens) SELECT n, ROUND(CASE WHEN share = 0 THEN 1.1 WHEN 0.5 * sqrt(1 / share) + 0.5 <= 1 THEN 1 ELSE LEAST(1.1, 0.5 * sqrt(1 / share) + 0.5) END, 6) AS inflation FROM s")
 def capped_inflation(spark, d):
+    """Also where the analysis leaves no spread, and where it has more than the forecast."""
     e = _ensemble(spark, d).select("n", M.square_sum(M.anomalies(F.col("e"), M.mean_of(F.col("e")))).alias("v"))
-    return e.select("n", M.capped_inflation(1.1, 0.5, F.col("v"), F.col("v") * (0.5 + (F.col("n") % 5) / 10)).alias("inflation"))
+    share = F.when(F.col("n") % 4 == 0, 0.0).when(F.col("n") % 4 == 1, 4.0).otherwise(0.5 + (F.col("n") % 5) / 10)
+    return e.select("n", M.capped_inflation(1.1, 0.5, F.col("v"), F.col("v") * share).alias("inflation"))
 
 
 # innovations and reports ------------------------------------------------------------------------------------------------
@@ -280,22 +394,36 @@ def distinct_batches(spark, d):
     return _with_inn(spark, d).groupBy("type").agg(F.countDistinct("file", "batch").alias("batches"))
 
 
-_REGION_SQL = "(VALUES " + ", ".join(f"('{r[0]}', {r[1]}::DOUBLE, {r[2]}::DOUBLE, {r[3]}::DOUBLE, {r[4]}::DOUBLE)" for r in REGIONS) + ") r(region, lo, hi, s, t)"
+_REGION_SQL = "(VALUES " + ", ".join(f"('{r[0]}', {r[1]}::DOUBLE, {r[2]}::DOUBLE, {r[3]}::DOUBLE, {r[4]}::DOUBLE)" for r in REGIONS) + ") r(region, west, east, south, north)"
+_LAYERS_SQL = "(VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in LAYERS) + ") z(layer, z1, z2)"
+
 
+def regions(spark: SparkSession) -> DataFrame:
+    return _small(spark, REGIONS, "region string, west double, east double, south double, north double")
 
-def _stats_sql() -> str:
-    return f"""{_INN}, m AS (SELECT region, inn.*, CAST(floor(time + 0.5) AS INT) AS slot FROM inn JOIN {_REGION_SQL} ON lat BETWEEN s AND t AND lon >= lo AND lon <= hi)
- SELECT region, type, slot, instrument, COUNT(*) AS n, ROUND(AVG(abs(inn)) + 1e-9, 6) AS mad, ROUND(AVG(inn) + 1e-9, 6) AS bias, ROUND(sqrt(AVG(inn * inn)) + 1e-9, 6) AS rmsd, ROUND(AVG(estd) + 1e-9, 6) AS estd FROM m
- GROUP BY GROUPING SETS ((region, type), (region, type, slot), (region, type, instrument))"""
 
+def _stats_sql(size: str) -> str:
+    report = f"COUNT(*) AS n, ROUND({size} + 1e-9, 6) AS dev_f, ROUND(AVG(inn) + 1e-9, 6) AS inn_f, ROUND(AVG(estd) + 1e-9, 6) AS std_f"
+    return f"""{_INN}, m AS (SELECT region, inn.*, CAST(floor(time + 0.5) AS INT) AS slot FROM inn JOIN {_REGION_SQL} ON lat BETWEEN south AND north AND (CASE WHEN west <= east THEN lon >= west AND lon <= east ELSE lon >= west OR lon <= east END))
+ SELECT region, type, 'all' AS kind, NULL AS part, {report} FROM m GROUP BY region, type UNION ALL SELECT region, type, 'slot', CAST(slot AS VARCHAR), {report} FROM m GROUP BY region, type, slot
+ UNION ALL SELECT region, type, 'instrument', instrument, {report} FROM m GROUP BY region, type, instrument UNION ALL SELECT region, type, 'depth', layer, {report} FROM m JOIN {_LAYERS_SQL} ON depth >= z1 AND depth < z2 GROUP BY region, type, layer"""
 
-@query(_stats_sql())
+
+def _report(spark: SparkSession, d: str, rmsd: bool) -> DataFrame:
+    obs = _with_inn(spark, d).withColumnRenamed("inn", "inn_f").withColumn("std_f", F.col("estd"))
+    layers = spark.createDataFrame(LAYERS, "layer string, z1 double, z2 double")
+    return _decided(diag.observation_stats(obs, regions(spark), layers, 1.0, rmsd))
+
+
+@query(_stats_sql("AVG(abs(inn))"))
 def forecast_stats(spark, d):
-    """The report by region and type, each also by time slot and by instrument, in one pass."""
-    regions = _small(spark, REGIONS, "region string, lo double, hi double, s double, t double")
-    met = _with_inn(spark, d).withColumn("slot", M.slot(F.col("time"), 1.0)).join(regions, F.col("lat").between(F.col("s"), F.col("t")) & F.col("lon").between(F.col("lo"), F.col("hi")))
-    sets = [[F.col("region"), F.col("type")], [F.col("region"), F.col("type"), F.col("slot")], [F.col("region"), F.col("type"), F.col("instrument")]]
-    return _decided(met.groupingSets(sets, "region", "type", "slot", "instrument").agg(F.count("*").alias("n"), F.avg(F.abs("inn")).alias("mad"), F.avg("inn").alias("bias"), F.sqrt(F.avg(F.col("inn") * F.col("inn"))).alias("rmsd"), F.avg("estd").alias("estd")))
+    """The report by region and type, each also by time slot, by instrument and by depth, in one pass."""
+    return _report(spark, d, False)
+
+
+@query(_stats_sql("sqrt(AVG(inn * inn))"))
+def forecast_stats_rmsd(spark, d):
+    return _report(spark, d, True)
 
 
 _LAYER_SQL = "(VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in LAYERS) + ") z(layer, z1, z2)"
@@ -381,58 +509,11 @@ def _single(spark: SparkSession, d: str, scheme: str) -> DataFrame:
     return kernel.local_analyses(rows, scheme).select("node", "dfs", "srf", F.col("w")[0].alias("w1"), F.col("t")[0].alias("t11"), F.col("t")[1].alias("t12"))
 
 
-def _local_input(spark: SparkSession, d: str) -> DataFrame:
-    ens = _ensemble(spark, d).select("n", _standardised(F.col("e"), 20.0).alias("s"))
-    size = ens.count()
-    return _pairs(spark, d, _cells(spark)).withColumn("n", F.col("id") % size).join(ens, "n").select("node", "id", "coeff", "s", (F.col("inn") / (20.0 * 63**0.5)).alias("inn"))
-
-
-def _solved(spark: SparkSession, d: str) -> DataFrame:
-    return kernel.with_defaults(_cells(spark), kernel.local_analyses(_local_input(spark, d)), MEMBERS)
-
-
-@query()
-def local_transforms(spark, d):
-    """The analysis of every cell that is not land; those without observations keep their ensemble."""
-    return _solved(spark, d).select("node", "nlobs", "dfs", "srf", F.col("w")[0].alias("w1"), F.col("t")[0].alias("t11"))
-
-
-def _state(spark: SparkSession, d: str) -> DataFrame:
-    """n, node, e of the elements above the ground: n = (k * 17 + j) * 36 + i has the members of row n % N of N.
-
-    Where N is more than the elements of a field, the state has as many fields as it takes to have every row.
-    """
-    ens = _ensemble(spark, d)
-    size, field = ens.count(), 4 * 17 * 36
-    at = spark.range(field * max(1, -(-size // field))).select(F.col("id").alias("n"), (F.col("id") % (17 * 36)).cast("int").alias("node"), (F.floor(F.col("id") / (17 * 36)) % 4).alias("k"))
-    wet = at.join(_cells(spark).select("node", "numlevels"), "node").where("k < numlevels")
-    return wet.select("n", "node", (F.col("n") % max(1, size)).alias("row")).join(ens.withColumnRenamed("n", "row"), "row").select("n", "node", "e")
-
-
-@query()
-def state_update(spark, d):
-    """Analysed state: each element's members moved by its own cell's transform."""
-    state = _state(spark, d).join(_solved(spark, d).select("node", "w", "t"), "node")
-    a = kernel.updated(state, MEMBERS)
-    return a.select("n", "node", M.mean_of(F.col("e")).alias("mean_f"), M.mean_of(F.col("a")).alias("mean_a"), F.sqrt(M.square_sum(M.anomalies(F.col("a"), M.mean_of(F.col("a")))) / 63).alias("spread_a"))
-
-
 @query("SELECT CAST(k AS INT) AS k, ROUND(CASE WHEN u < -1 THEN 1 WHEN u > 1 THEN 0 ELSE (cos((u + 1) * pi() / 2) + 1) / 2 END, 6) AS weight FROM (SELECT k, (k * 5.0::DOUBLE / 100 - 1) / 0.1::DOUBLE AS u FROM range(40) t(k))")
 def mixed_layer_taper(spark, d):
     return spark.range(40).select(F.col("id").cast("int").alias("k"), M.surface_weight(F.lit(100.0), F.col("id") * 5.0).alias("weight"))
 
 
-@query("WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id, k, abs(v - first_value(v) OVER o) AS dv, lag(v) OVER o AS pv, v, first_value(v) OVER o AS sv FROM p WINDOW o AS (PARTITION BY vec_id ORDER BY k)), f AS (SELECT vec_id, MIN(k) AS k FROM q WHERE dv >= 0.1 GROUP BY vec_id) SELECT f.vec_id AS n, ROUND(f.k - 1 + (0.1 - abs(q.pv - q.sv)) / abs(q.v - q.pv), 6) AS mld FROM f JOIN q ON q.vec_id = f.vec_id AND q.k = f.k")
-def mixed_layer_depth(spark, d):
-    """The first place in a profile that differs from the surface by a threshold."""
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("n"), v.alias("v"))
-    first = F.array_position(F.transform("v", lambda x: F.abs(x - F.col("v")[0]) >= 0.1), F.lit(True)).cast("int") - 1
-    rows = rows.withColumn("k", first).where("k > 0")
-    before, here, top = F.element_at("v", F.col("k")), F.element_at("v", F.col("k") + 1), F.col("v")[0]
-    return rows.select("n", (F.col("k") - 1 + (0.1 - F.abs(before - top)) / F.abs(here - before)).alias("mld"))
-
-
 @query(f"{_ENS} SELECT CAST(n // 10 AS BIGINT) AS column_id, ROUND(SUM(list_sum(e)), 3) AS vertsum, ROUND(SUM(list_sum(e) * (1 + n % 10)) / SUM(1 + n % 10), 4) AS vertwavg FROM ens GROUP BY 1")
 def vertical_sums(spark, d):
     s = _ensemble(spark, d).select(F.floor(F.col("n") / 10).alias("column_id"), (1 + F.col("n") % 10).alias("w"), F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("v"))

@@ -9,11 +9,6 @@ SURFACE = ("view", "click", "error")
 DAY = 86400e6
 
 
-def days(ts: Column, origin: float) -> Column:
-    """Days since origin (itself days since 1970) of a timestamp."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(DAY) - origin
-
-
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Scattered observations from the events table."""
     raw = spark.read.parquet(f"{folder}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
@@ -52,13 +47,3 @@ def gridded(rows: DataFrame, values: str, depth: float = 0.0) -> DataFrame:
     out = rows.select(*[c for c in rows.columns if c != values], F.posexplode(values).alias("j", "row"))
     out = out.select(*[c for c in out.columns if c != "row"], F.posexplode("row").alias("i", "value"))
     return out.where("value is not null").withColumn("depth", F.lit(depth))
-
-
-def date_from_name(path: Column) -> Column:
-    """Days since 1970 of the last eight digits in a file's name."""
-    return F.datediff(F.to_date(F.regexp_extract(path, r"(\d{8})(?!.*\d{8})", 1), "yyyyMMdd"), F.lit("1970-01-01").cast("date")).cast("double")
-
-
-def first_defined(*columns: tuple[str, str]) -> Column:
-    """The first of (value, flag) pairs whose value is defined and whose flag is 1."""
-    return F.coalesce(*[F.when((F.col(q) == 1) & F.col(v).isNotNull(), F.col(v)) for v, q in columns])
