@@ -5,12 +5,15 @@ inflates such a file in one pass and writes every record as a gzip member of its
 alone, with an index of (offset, length) beside it. ``read_archives`` reads records by those offsets. A record whose
 payload of at least ``min_bytes`` another one has too is a revisit of the one with the largest id, without payload.
 
-Files go to a folder that all executors share, through pyarrow's file systems. Each has a name that only its task
-uses and is written whole again if a task is repeated. Memory holds one record and one archive's index.
+Files go to a folder that all executors share, through pyarrow's file systems. Each has a name that only one attempt of
+a task uses, so repeated and speculative attempts never write the same file, and the manifest, a table, has those of the
+attempts that count. Memory holds one record and one archive's index.
 
 Cases: a null or empty payload is a response of 0 bytes. Rows with one id and one payload are alike: all are
 responses where the id is the largest, else all are revisits. A null id can be written and read back; it is never
-the target of a revisit. A null url is left out. Empty tables give empty archives and no rows.
+the target of a revisit, and its record's id is made of its place. A null url is left out, and so is one of a table
+without such a column. Very long payloads are written whole. Empty tables give empty archives and no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,28 +46,28 @@ class WarcParameters:
     archive_bytes: int = 16_000_000  # of records before compression, after which a task begins a new archive
     level: int = 6
     chunk: int = 1 << 20
+    date: str = "2000-01-01T00:00:00Z"  # of pages that don't tell when they were fetched
 
 
-def classify(pages: DataFrame, p: WarcParameters, key: str = "page_id", payload: str = "html") -> DataFrame:
+def classify(pages: DataFrame, p: WarcParameters, key: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
     """pages with payload as text, its size and digest, and refers_to: null for responses.
 
     Only digests are aggregated and joined before the last join, which is on the page's id; payloads that many pages
     share meet nowhere.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(key).alias("page_id"), F.col("url"), body.alias("body"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
+    rows = pages.select(F.col(key).alias("page_id"), (F.col(url) if url in pages.columns else F.lit(None)).cast("string").alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
     large = rows.where((F.col("payload_bytes") >= p.min_bytes) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
     winners = large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to").drop("low")
     revisits = large.join(winners, "payload_digest").where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
     return rows.join(written(revisits, "revisits"), ["page_id", "payload_digest"], "left")
 
 
-def _record(page_id, url, body: bytes, size: int, digest: str, refers_to) -> bytes:
+def _record(page_id, url, body: bytes, size: int, digest: str, refers_to, date: str, place: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (body if refers_to is None else b"")
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), f"WARC-Payload-Digest: sha1:{digest}".encode(), b"Content-Type: application/http; msgtype=response"]
-    if page_id is not None:
-        head.append(f"WARC-Record-ID: <urn:page:{page_id}>".encode())
+    name = f"urn:page:{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place} {digest}')}"
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), f"WARC-Record-ID: <{name}>".encode(), f"WARC-Date: {date}".encode(), f"WARC-Payload-Digest: sha1:{digest}".encode(), b"Content-Type: application/http; msgtype=response"]
     if url is not None:
         head.append(b"WARC-Target-URI: " + re.sub(rb"[\r\n]", b"", url.encode()))
     if refers_to is not None:
@@ -83,13 +87,13 @@ def write_archives(records: DataFrame, folder: str, p: WarcParameters) -> DataFr
     def write(batches: Iterator[pa.RecordBatch]):
         fs, root = _opened(folder)
         fs.create_dir(root, recursive=True)
-        task, number, out = TaskContext.get().partitionId(), 0, None
+        task, number, out = TaskContext.get(), 0, None
         for batch in batches:
             for x in batch.to_pylist():
                 if out is None:
-                    path, held, count, pack = f"{root}/{task:06d}-{number:05d}.warc.gz", 0, 0, zlib.compressobj(1, wbits=_GZIP)
+                    path, held, count, pack = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}-{number:05d}.warc.gz", 0, 0, zlib.compressobj(1, wbits=_GZIP)
                     out = fs.open_output_stream(path, compression=None)
-                record = _record(x["page_id"], x["url"], x["body"].encode(), x["payload_bytes"], x["payload_digest"], x["refers_to"])
+                record = _record(x["page_id"], x["url"], x["body"].encode(), x["payload_bytes"], x["payload_digest"], x["refers_to"], p.date, f"{task.partitionId()} {number} {count}")
                 out.write(pack.compress(record))
                 held, count = held + len(record), count + 1
                 if held >= p.archive_bytes:
@@ -150,7 +154,7 @@ def normalise(manifest: DataFrame, folder: str, p: WarcParameters) -> DataFrame:
         fs.create_dir(root, recursive=True)
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                new, index, at = f"{root}/{os.path.basename(path)}", [], 0
+                new, index, at = f"{root}/{TaskContext.get().taskAttemptId()}-{os.path.basename(path)}", [], 0
                 with fs.open_input_stream(path, compression=None) as source, fs.open_output_stream(new, compression=None) as out:
                     for record in split_records(inflated(source, p.chunk)):
                         pack = zlib.compressobj(p.level, wbits=_GZIP)
@@ -180,7 +184,7 @@ def parse(record: bytes) -> dict:
         body = rest[: len(rest) - 4]
         if len(body) != size or hashlib.sha1(body).hexdigest() != digest:
             raise ValueError(f"the payload of {page} is not what its header says")
-    number = lambda urn: int(urn[len("<urn:page:") : -1]) if urn else None
+    number = lambda urn: int(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") else None
     return {"page_id": number(page), "url": _field(head, b"WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(target)}
 
 
