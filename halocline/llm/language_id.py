@@ -4,7 +4,8 @@ Training counts n-grams of one to three characters, hashed into a fixed number o
 labelled rows per language. The log-probability matrix (buckets x languages, a size that the parameters fix) is
 broadcast; batches of texts are scored in numpy by gathering and summing its rows.
 
-Cases: a null text, and one without a letter, is ``und`` with score 0. Rows without a label are not learned from.
+Cases: a null text, and one without a letter, is ``und`` with score 0. Very long texts are read whole. Columns named like
+the two results are replaced. Rows without a label are not learned from.
 Without any labelled row every text is ``und``. Repeated rows are scored alike; other columns pass through unread.
 """
 
@@ -89,7 +90,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"l": pa.array([name] * len(at), pa.string()), "b": at.astype(np.int32), "n": total[at]})
 
-    counted = picked.coalesce(16).mapInArrow(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    counted = picked.mapInArrow(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     totals = np.full((1 << p.bits, len(languages)), p.smoothing)
     index = {k: i for i, k in enumerate(languages)}
     column = np.array([index[x] for x in counted.column("l").to_pylist()], np.int64)
