@@ -73,14 +73,26 @@ class _Numbers(dict):
         return number
 
 
+#: texts that tell whether a tokenizer lowers case and cuts words as the encoder does
+PROBES = ("Plain words, and MORE of them.", "don't we'll 's a.b,c 12,3. x_y (z) -- ... #1!", "Über naïve señor, été. ÿ ß ÀÉ ÷ a\u0301", "中文。 ١٢ İ ŉ 😀 ½ \x00 \x85", "a<b <|x|> <|endoftext|>", "tab\tnew\nline  two   spaces ")
+
+
 class Encoder:
-    """Token ids of texts; words between ASCII white space, which no token crosses, are encoded once and remembered."""
+    """Token ids of texts; words between ASCII white space, which no token crosses, are encoded once and remembered.
+
+    Of a tokenizer that does otherwise, as probes tell, every text is encoded whole.
+    """
 
     def __init__(self, p: PackingParameters):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.end = Tokenizer.from_file(tokenizer_path(p.tokenizer)), p.remembered_words, p.end
         self._forget()
+        self.by_word = True
+        self.by_word = all(x.tolist() == self._whole(t).tolist() for x, t in zip(self(list(PROBES)), PROBES, strict=True))
+
+    def _whole(self, text: str | None) -> np.ndarray:
+        return np.array([*self.tokenizer.encode(text or "", add_special_tokens=False).ids, self.end], np.uint32)
 
     def _forget(self) -> None:
         """Only the end-of-document id is known, as the word that no text has: number 0."""
@@ -89,6 +101,8 @@ class Encoder:
         self.ids, self.first, self.length = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [self._whole(t) for t in texts]
         # the tokenizer lowers case itself; only its special tokens, which begin with <|, tell cases apart
         split = [[*(x if b"<|" in x else x.lower()).split(), b""] for x in ((t or "").encode() for t in texts)]
         if not split:
@@ -167,7 +181,7 @@ def tokenised(docs: DataFrame, p: PackingParameters, key: str = "doc_id", text:
 
     def run(batches):
         encode = None
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", 1_000_000):
             encode = encode or Encoder(p)
             ids = encode(texts)
             small = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -326,7 +340,7 @@ def pack(docs: DataFrame, p: PackingParameters | None = None, key: str = "doc_id
         if held:
             yield done()
 
-    return tokens.repartitionByRange(shards, "sig_a", "sig_b", "doc_id").mapInArrow(run, PIECE)
+    return tokens.repartitionByRange(shards, "sig_a", "sig_b", "doc_id").sortWithinPartitions("sig_a", "sig_b", "doc_id", "n").mapInArrow(run, PIECE)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
