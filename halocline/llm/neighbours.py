@@ -4,17 +4,24 @@ Vectors are lengthened by one coordinate that gives all the same norm, so the la
 distance, and turned by a random rotation. k-means on a bounded sample gives the lists; every vector goes to one.
 A query probes the nearest lists, as many as it takes: a sample of the queries is answered by brute force over all
 vectors, and the lists that hold their true neighbours tell how many must be probed for the recall asked for (all, if
-need be, as for isotropic vectors of many dimensions). Within a list, vectors lie in blocks of columns: after each block, a hypothesis
-test on the partial distance abandons the candidates that can hardly be among the nearest, and only the rest are read
-further. Survivors' inner products are computed in double precision on the original vectors.
-
-Lists over a target size are dealt into chunks of it by a hash of the id, so a vector that a third of the rows repeat
-fills many chunks and no task holds a whole list. Centroids, rotation and the counts by list have sizes fixed by the
-parameters and are broadcast.
-
-Cases: vectors that are null or zero, or have a null or non-finite component or another length than the first vector
-has, take no part as query or candidate. A query has fewer rows if there are fewer candidates. Ties go to the smaller
-id. Rows that repeat an id are candidates each, and the query's own id never is. Without vectors there are no rows.
+need be, as for isotropic vectors of many dimensions). A query that has found fewer than it should then probes the rest.
+
+Lists near each other form blocks of a bounded number of rows. A query is sent once to each block with a list that it
+probes, first to those of its nearest lists; what it finds there bounds the distance of what it still looks for, and
+goes on with it to the others. Within a list, columns are read in blocks: after each, a hypothesis test on the partial
+distance abandons the candidates that can hardly be nearer than the bound, for many queries at once as long as any of
+them keeps a candidate. The bound tightens with every part of a list that is read, so blocks give back few candidates.
+Inner products of these are computed in double precision on the original vectors.
+
+Blocks over a target size are dealt into chunks of it by a hash of the id, so a vector that a third of the rows repeat
+fills many chunks and no task holds a whole list; many queries of one block are dealt likewise. Centroids, rotation and
+the counts by list have sizes fixed by the parameters and are broadcast.
+
+Cases: rows without an id take no part, nor do vectors that are null or zero, or have a null or non-finite component or
+another length than most rows have (of equally frequent lengths the smaller). A query has fewer rows if there are fewer
+candidates. Ties go to the smaller id. Rows that repeat an id are candidates each, and the query's own id never is;
+repeated rows of one query are one query, and different vectors under one id are queries each. Without vectors there are
+no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +42,14 @@ class NeighbourParameters:
     k: int = 20
     sample_rows: int = 32768  # the bound on rows that the index is fitted on
     rows_per_list: int = 256
-    max_lists: int = 1024
+    max_lists: int = 4096  # beyond this, lists grow
     probes: int = 24  # lists probed at least
+    first: int = 8  # of them, those that give the first bound
     recall: float = 0.95  # of the true neighbours, those that the probed lists must hold
     tried: int = 256  # queries answered by brute force to measure it
-    chunk_rows: int = 4096
-    block: int = 8  # columns in a block
+    block_rows: int = 16384  # rows of lists, and queries, that meet at once
+    part_rows: int = 512  # of a list, read between two updates of the bound
+    block: int = 16  # columns read between two tests
     epsilon: float = 2.1  # of the hypothesis test: larger abandons less
     iterations: int = 8
     seed: int = 11
@@ -97,28 +106,29 @@ def build(rows: DataFrame, p: NeighbourParameters) -> Index | None:
     return index
 
 
-def scan(points: np.ndarray, query: np.ndarray, k: int, block: int, epsilon: float) -> np.ndarray:
-    """Rows of points (columns x rows, read block by block) that may be among the k nearest to query."""
-    width, n = points.shape
-    if n <= 2 * k:
-        return np.arange(n)
-    first = points[:, : 2 * k] - query[:, None]
-    bound = np.partition((first * first).sum(0), k - 1)[k - 1]
-    alive, partial = np.arange(2 * k, n), np.zeros(n - 2 * k)
+def scan(points: np.ndarray, queries: np.ndarray, bound: np.ndarray, block: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of points, row of queries) that may lie within the queries' bounds, and their squared distances.
+
+    Partial distances over ever more columns; a pair is abandoned when the test says that it can hardly stay within the
+    bound, and rows and queries without a pair left are read no further.
+    """
+    width = points.shape[1]
+    rows, cols = np.arange(len(points)), np.arange(len(queries))
+    partial = np.zeros((len(points), len(queries)))
     for at in range(0, width, block):
-        d = points[at : at + block, alive] - query[at : at + block, None]
-        partial = partial + (d * d).sum(0)
+        x, q = points[rows, at : at + block], queries[cols, at : at + block]
+        partial += (x * x).sum(1)[:, None] + (q * q).sum(1) - 2 * x @ q.T
         seen = min(at + block, width)
-        limit = bound * (1 + 1e-9) + 1e-12 if seen == width else bound * (seen / width) * (1 + epsilon / math.sqrt(seen)) ** 2 + 1e-12
-        keep = partial <= limit
-        alive, partial = alive[keep], partial[keep]
-        if not len(alive):
+        slack = 1 + 1e-9 if seen == width else seen / width * (1 + epsilon / math.sqrt(seen)) ** 2
+        keep = partial <= bound[cols] * slack + 1e-9
+        use_r, use_c = keep.any(1), keep.any(0)
+        partial[~keep] = np.inf
+        if not use_r.all() or not use_c.all():
+            rows, cols, partial = rows[use_r], cols[use_c], partial[np.ix_(use_r, use_c)]
+        if not len(rows):
             break
-    return np.concatenate([np.arange(2 * k), alive])
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    r, c = np.nonzero(partial < np.inf)
+    return rows[r], cols[c], partial[r, c]
 
 
 def probes_needed(placed: DataFrame, asked: DataFrame, index: Index, p: NeighbourParameters) -> int:
@@ -164,19 +174,37 @@ def probes_needed(placed: DataFrame, asked: DataFrame, index: Index, p: Neighbou
     return max(p.probes, min(lists, int((sure < p.recall).sum()) + 1))
 
 
+def _blocks_of_lists(index: Index, sizes: np.ndarray, p: NeighbourParameters) -> np.ndarray:
+    """The block of each list: near lists together, of about as many rows as a block should have."""
+    order, todo = [], [np.arange(len(index.centroids))]
+    while todo:
+        part = todo.pop()
+        if len(part) == 1:
+            order.append(part[0])
+            continue
+        own = index.centroids[part]
+        part = part[np.argsort(own[:, own.var(0).argmax()], kind="stable")]
+        todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+    block = np.zeros(len(order), np.int32)
+    block[order] = (np.cumsum(sizes[order]) - 1) // p.block_rows
+    return block
+
+
 def search(vectors: DataFrame, queries: DataFrame, p: NeighbourParameters | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest inner product, as far as the index finds them."""
     p = p or NeighbourParameters()
     spark = vectors.sparkSession
-    clean = lambda df: df.where(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    clean = lambda df: df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     found, asked = clean(vectors), clean(queries)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = found.select(F.size("v")).first()
+    width = found.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if width is None:
         return empty
     found, asked = found.where(F.size("v") == width[0]), asked.where(F.size("v") == width[0])
+    asked = asked.withColumn("h", F.xxhash64("v")).dropDuplicates(["id", "h"])
     index = build(found, p)
     shared = spark.sparkContext.broadcast(index)
+    kind = vectors.schema[vector].dataType.simpleString()
 
     def to_lists(batches):
         index = shared.value
@@ -185,53 +213,118 @@ def search(vectors: DataFrame, queries: DataFrame, p: NeighbourParameters | None
                 near = index.distances(index.place(_matrix(batch, "v"))).argmin(1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=["id", "v", "list"])
 
-    def to_probes(batches):
-        index = shared.value
-        for batch in batches:
-            if batch.num_rows:
+    placed = written(found.mapInArrow(to_lists, f"id long, v {kind}, list int"), "lists")
+    probes = probes_needed(placed, asked.select("id", "v"), index, p)
+    lists = len(index.centroids)
+    sizes = np.zeros(lists, np.int64)
+    for r in placed.groupBy("list").count().collect():  # a row for each list at most
+        sizes[r[0]] = r[1]
+    blocks = _blocks_of_lists(index, sizes, p)
+    rows_in = np.bincount(blocks, sizes)
+    in_block = spark.sparkContext.broadcast(blocks)
+
+    def round_of(asked: DataFrame, low: int, high: int) -> DataFrame:
+        """query, h, vec_id, score: the best of each block among the lists from the low-th nearest to before the high-th.
+
+        asked: id, h, v and least, the score that a candidate must reach (null: none).
+        """
+
+        def to_blocks(batches):
+            index, blocks = shared.value, in_block.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
                 d = index.distances(index.place_query(_matrix(batch, "v")))
-                n = probes
-                lists = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1)
-                rows = np.repeat(np.arange(batch.num_rows), n)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(lists.ravel(), pa.int32())], names=["id", "v", "list"])
-
-    kind = vectors.schema[vector].dataType.simpleString()
-    shape = f"id long, v {kind}, list int"
-    placed = written(found.mapInArrow(to_lists, shape), "lists")
-    probes = probes_needed(placed, asked, index, p)
-    sizes = {r[0]: math.ceil(r[1] / p.chunk_rows) for r in placed.groupBy("list").count().collect()}  # a row for each list at most
-    chunks = F.array(*[F.lit(sizes.get(i, 1)) for i in range(len(index.centroids))]) if len(index.centroids) <= 64 else None
-    if chunks is None:
-        # a row for each list, at most max_lists: a proven size
-        dealt = F.broadcast(spark.createDataFrame([(i, sizes.get(i, 1)) for i in range(len(index.centroids))], "list int, n int"))
-        with_n = lambda df: df.join(dealt, "list")
-    else:
-        with_n = lambda df: df.withColumn("n", chunks[F.col("list")])
-    candidates = with_n(placed).select("list", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("chunk"), "id", "v")
-    probes = with_n(asked.mapInArrow(to_probes, shape)).select("list", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), "id", "v")
-
-    def meet(key, left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        index = shared.value
-        left = left.sort_by("id").combine_chunks().to_batches()[0]
-        right = right.combine_chunks().to_batches()[0]
-        x, q = _matrix(left, "v"), _matrix(right, "v")
-        points, turned = np.ascontiguousarray(index.place(x).T), index.place_query(q)
-        ids, asking = left.column("id").to_numpy(), right.column("id").to_numpy()
-        out = []
-        for i in range(len(q)):
-            near = scan(points, turned[i], p.k + 1, p.block, p.epsilon)
-            near = near[ids[near] != asking[i]]
-            scores = (x[near] * q[i]).sum(1)
-            best = _best(ids[near], scores, p.k)
-            out.append((np.full(len(best), asking[i]), ids[near][best], scores[best]))
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
-
-    met = candidates.groupBy("list", "chunk").cogroup(probes.groupBy("list", "chunk")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+                near = np.argsort(d, axis=1, kind="stable")[:, low:high]
+                query = np.repeat(np.arange(batch.num_rows), near.shape[1])
+                order = np.lexsort((near.ravel(), blocks[near.ravel()], query))
+                one, at = near.ravel()[order], query[order]
+                new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (blocks[one[1:]] != blocks[one[:-1]])]))
+                probed = pa.ListArray.from_arrays(pa.array(np.append(new, len(one)).astype(np.int32)), pa.array(one.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at[new])) for c in batch.columns), probed, pa.array(blocks[one[new]], pa.int32())], names=["id", "h", "v", "least", "probed", "block"])
+
+        probing = asked.select("id", "h", "v", "least").mapInArrow(to_blocks, f"id long, h long, v {kind}, least double, probed array<int>, block int")
+        # a row for each block, of which the parameters bound the number: chunks of candidates and of queries
+        many = {r[0]: r[1] for r in probing.groupBy("block").count().collect()}
+        deals = [(b, max(1, math.ceil(n / p.block_rows)), max(1, math.ceil(many.get(b, 0) / p.block_rows))) for b, n in enumerate(rows_in) if many.get(b)]
+        dealt = F.broadcast(spark.createDataFrame(deals, "block int, chunks int, shares int"))
+        of_list = F.broadcast(spark.createDataFrame(list(enumerate(blocks.tolist())), "list int, block int"))  # a row for each list
+        left = placed.join(of_list, "list").join(dealt, "block").select("block", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "list", "id", "v")
+        right = probing.join(dealt, "block").select(F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("qc"), F.pmod(F.xxhash64("id", "h"), F.col("shares")).cast("int").alias("qs"), "id", "h", "v", "least", "probed")
+
+        def meet(_, left, right):
+            nothing = pa.table({"query": pa.array([], pa.int64()), "h": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            if not left.num_rows or not right.num_rows:
+                return nothing
+            index = shared.value
+            left = left.sort_by([("list", "ascending"), ("id", "ascending")]).combine_chunks().to_batches()[0]
+            right = right.combine_chunks().to_batches()[0]
+            x, q = _matrix(left, "v"), _matrix(right, "v")
+            ids, asking, list_of = (c.to_numpy() for c in (left.column("id"), right.column("id"), left.column("list")))
+            points, turned = index.place(x), index.place_query(q)
+            square = (turned * turned).sum(1)
+            least = right.column("least").to_numpy(zero_copy_only=False)
+            limit = np.where(np.isnan(least), np.inf, square + index.longest - 2 * np.nan_to_num(least))
+            limit = limit + 1e-9 * (1 + np.where(np.isinf(limit), 0, limit))
+            best = np.repeat(limit[:, None], p.k, axis=1)  # each query's k smallest distances, no larger than its limit
+            probed = right.column("probed")
+            of_query, of_list = np.repeat(np.arange(len(q)), np.diff(probed.offsets.to_numpy())), probed.flatten().to_numpy()
+            order = np.argsort(of_list, kind="stable")
+            of_query, of_list = of_query[order], of_list[order]
+            kept = []
+            cuts = np.flatnonzero(np.concatenate([[True], list_of[1:] != list_of[:-1]]))
+            for a, b in zip(cuts, [*cuts[1:], len(list_of)], strict=True):
+                mine = of_query[np.searchsorted(of_list, list_of[a]) : np.searchsorted(of_list, list_of[a], "right")]
+                for c in range(0, len(mine), 2048):
+                    own = mine[c : c + 2048]
+                    for at in range(a, b, p.part_rows):
+                        end = min(at + p.part_rows, b)
+                        r, s, d = scan(points[at:end], turned[own], best[own].max(1), p.block, p.epsilon)
+                        other = ids[at + r] != asking[own[s]]
+                        r, s, d = at + r[other], s[other], d[other]
+                        if len(r):
+                            kept.append((r, own[s], d))
+                            wide = np.full((len(own), int(np.bincount(s).max())), np.inf)
+                            by = np.argsort(s, kind="stable")
+                            first = np.searchsorted(s[by], s[by])
+                            wide[s[by], np.arange(len(by)) - first] = d[by]
+                            best[own] = np.partition(np.hstack([best[own], wide]), p.k - 1, axis=1)[:, : p.k]
+            if not kept:
+                return nothing
+            r, s, d = (np.concatenate(z) for z in zip(*kept, strict=True))
+            use = d <= best[s].max(1) * (1 + 1e-9) + 1e-9
+            r, s = r[use], s[use]
+            scores = np.einsum("ij,ij->i", x[r], q[s])
+            order = np.lexsort((ids[r], -scores, s))
+            r, s, scores = r[order], s[order], scores[order]
+            rank = np.arange(len(s)) - np.searchsorted(s, s)
+            r, s, scores = r[rank < p.k], s[rank < p.k], scores[rank < p.k]
+            return pa.table({"query": asking[s], "h": right.column("h").to_numpy()[s], "vec_id": ids[r], "score": scores})
+
+        return left.groupBy("block", "chunk", "share").cogroup(right.groupBy("qb", "qc", "qs")).applyInArrow(meet, "query long, h long, vec_id long, score double")
+
+    def ranked(met: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query", "h").orderBy(F.desc("score"), "vec_id")
+        return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k)
+
+    def bounded(asked: DataFrame, top: DataFrame) -> DataFrame:
+        """asked with the score of the k-th found, if there are k."""
+        kth = top.where(F.col("rank") == p.k).select(F.col("query").alias("id"), "h", F.col("score").alias("least"))
+        return asked.select("id", "h", "v").join(kth, ["id", "h"], "left")
+
+    asked = written(asked, "queries")
+    first = min(p.first, probes)
+    top = written(ranked(round_of(asked.withColumn("least", F.lit(None).cast("double")), 0, first)), "near")
+    if first < probes:
+        more = round_of(bounded(asked, top), first, probes)
+        top = written(ranked(top.drop("rank").unionByName(more)), "near")
+    if probes < lists:
+        short = asked.join(top.where(F.col("rank") == p.k).select(F.col("query").alias("id"), "h"), ["id", "h"], "left_anti")
+        short = written(short, "short")
+        if not short.isEmpty():
+            more = round_of(short.withColumn("least", F.lit(None).cast("double")), probes, lists)
+            top = written(ranked(top.drop("rank").unionByName(more)), "near")
+    return top.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
