@@ -62,7 +62,7 @@ def fold(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of the batches with about so many bytes of text in a part, so that long texts don't add up in memory."""
     import numpy as np
     import pyarrow.compute as pc

@@ -8,18 +8,20 @@ verified shingle by shingle. Pairs that links found already connect need no veri
 Which sets meet in a tree:
 
 1. Documents of equal sets become one: the 64-bit hash of a whole set is its name from here on.
-2. Shingles are counted over all distinct sets. Tasks send sorted blocks of (48 bits of the shingle, set) to ranges of
-   the hash, each of a bounded number of entries; a range keeps what two sets or more hold, which is little of most
-   corpora. Any order of shingles serves a prefix filter: two sets within the threshold t share one of the
-   n - ceil(t n) + 1 first of each. With the rarest first, a set is listed under those that another set holds too, so
-   documents that share a common passage but no more are not listed together. This loses no pair. Listings are
-   combined before they are shuffled, so a key that very many sets have sends one row from each task, and a star of
-   edges stands for the sets listed together.
-3. Sets listed together form clusters (connected components, a superset of the linked ones). A cluster is cut into
+2. Any order of shingles serves a prefix filter: two sets within the threshold t share one of the n - ceil(t n) + 1
+   first of each. With the rarest first, a set of so many shingles that no other set has is linked with none, which
+   settles most documents. Shingles are counted over all distinct sets for this: tasks send sorted blocks of (48 bits
+   of the shingle, set) to ranges of the hash, each of a bounded number of entries, and of a range only each set's
+   number of shingles of its own goes on.
+3. The sets left are counted once more among themselves, and each is listed under the first of its shingles that others
+   have too. Documents that share a common passage but no more are not listed together. This loses no pair. Listings
+   are combined before they are shuffled, so a key that very many sets have sends one row from each task, and a star
+   of edges stands for the sets listed together.
+4. Sets listed together form clusters (connected components, a superset of the linked ones). A cluster is cut into
    pages of a bounded number of shingles; small clusters share a page. Each page, with some pivots
    from its whole cluster, is one tree. As copies of one text link to a pivot, links within pages nearly always join
    what pages hold apart.
-4. In clusters of several pages, sets that are still outside their cluster's main component meet, page by page, the
+5. In clusters of several pages, sets that are still outside their cluster's main component meet, page by page, the
    sets of other components that are listed under a key of theirs, so no link is lost, whatever the cluster looks like.
 
 Cases: null and empty texts and texts of white space have an empty set and are linked with nothing. Texts of fewer
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import slices, table, written
+from .common import discard, slices, table, written
 from .components import components
 
 
@@ -52,8 +54,9 @@ class JoinParameters:
     page_shingles: int = 1_000_000
     pivots: int = 24
     fan_out: int = 16
-    range_entries: int = 1_000_000  # entries of sets that a task counts shingles of at once
-    block_entries: int = 4_000_000  # entries that a task sorts into blocks at once
+    range_entries: int = 3_000_000  # entries of sets that a task counts shingles of at once
+    block_entries: int = 1_000_000  # entries that a task sorts into blocks at once
+    filter_bits: int = 26  # logarithm of the size of the filter that spares a shuffle of settled documents' texts
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,7 +98,8 @@ def packed_order(points: np.ndarray, leaf: int) -> np.ndarray:
             done.append(rows)
             continue
         own = points[rows]
-        rows = rows[np.argsort(own[:, own.var(0).argmax()], kind="stable")]
+        varies = np.einsum("ij,ij->j", own, own, dtype=np.float64) / len(own) - (own.sum(0) / len(own)) ** 2
+        rows = rows[np.argsort(own[:, varies.argmax()], kind="stable")]
         half = -(-len(rows) // (2 * leaf)) * leaf
         todo += [rows[half:], rows[:half]]
     return np.concatenate(done) if done else np.zeros(0, np.int64)
@@ -184,8 +188,8 @@ def _signed(docs: DataFrame, p: JoinParameters) -> DataFrame:
     return docs.mapInArrow(run, "id long, h long, n long, set long")
 
 
-def _blocks(docs: DataFrame, ranges: int, p: JoinParameters) -> DataFrame:
-    """range, and entries (48 bits of a shingle, place of its set) of that range, with the names and sizes of the sets."""
+def _blocks(docs: DataFrame, ranges: int, p: JoinParameters, with_sizes: bool) -> DataFrame:
+    """range, and entries (48 bits of a shingle, place of its set) of that range, with the names and, if so, sizes of the sets."""
     bounds = np.array([-(-(i << 48) // ranges) << 16 for i in range(1, ranges)], np.uint64)
 
     def cut(held):
@@ -202,7 +206,7 @@ def _blocks(docs: DataFrame, ranges: int, p: JoinParameters) -> DataFrame:
                     sets, place = np.unique((own & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
                     # byte by byte, as the upper bytes of sorted entries compress
                     key = (own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
-                    rows.append((number, key, place.astype(np.uint16).tobytes(), names[sets].tobytes(), sizes[sets].tobytes(), kinds[sets].tobytes()))
+                    rows.append((number, key, place.astype(np.uint16).tobytes(), names[sets].tobytes(), *([sizes[sets].tobytes(), kinds[sets].tobytes()] if with_sizes else [None, None])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["range", "keys", "places", "sets", "sizes", "kinds"])
 
@@ -226,35 +230,67 @@ def _blocks(docs: DataFrame, ranges: int, p: JoinParameters) -> DataFrame:
     return docs.select("text").mapInArrow(run, "range int, keys binary, places binary, sets binary, sizes binary, kinds binary")
 
 
+def _several(k: np.ndarray) -> np.ndarray:
+    """Of sorted keys, those that stand there more than once."""
+    same = k[1:] == k[:-1]
+    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(k) else np.zeros(0, bool)
+
+
+def _entries(rows: pa.Table, with_sizes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Keys, names and (size, kinds) of a range's sets, in order of keys and, under one that has several, of names."""
+    parts = [x for batch in rows.select(["keys", "places", "sets", "sizes", "kinds"]).to_batches() for x in zip(*(batch.column(c) for c in range(5)), strict=True)]
+    places = [np.frombuffer(x[1].as_buffer(), np.uint16) for x in parts]
+    ends = np.cumsum([len(p) for p in places])
+    keys, sets = np.zeros(ends[-1], np.int64), np.empty(ends[-1], np.int64)
+    sizes = np.empty((ends[-1], 2), np.uint32) if with_sizes else None
+    wide = keys.view(np.uint8).reshape(-1, 8)
+    for (k, _, names, n, kinds), place, end in zip(parts, places, ends, strict=True):
+        at = slice(end - len(place), end)
+        wide[at, :6] = np.frombuffer(k.as_buffer(), np.uint8).reshape(6, -1).T
+        sets[at] = np.frombuffer(names.as_buffer(), np.int64)[place]
+        if with_sizes:
+            sizes[at] = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in (n, kinds)], 1)[place]
+    order = np.argsort(keys)
+    again = np.flatnonzero(_several(keys[order]))
+    if len(again):
+        part = order[again]
+        order[again] = part[np.lexsort((sets[part], keys[part]))]
+        k, s = keys[order], sets[order]
+        order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])]  # equal sets of several tasks
+    return keys[order], sets[order], sizes[order] if with_sizes else None
+
+
+def _own(blocks: DataFrame, buckets: int) -> DataFrame:
+    """set, own: how many keys each set has that no other set has; without a row it has none."""
+
+    def count(_, rows):
+        keys, sets, _ = _entries(rows, False)
+        names, own = np.unique(sets[~_several(keys)], return_counts=True)
+        bucket = (_mixed(names.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(1, buckets))
+        names, own = np.split(names[order], cuts), np.split(own[order].astype(np.uint32), cuts)
+        some = [b for b in range(buckets) if len(names[b])]
+        return pa.table({"bucket": pa.array(some, pa.int32()), "sets": pa.array([names[b].tobytes() for b in some], pa.binary()), "own": pa.array([own[b].tobytes() for b in some], pa.binary())})
+
+    def add(_, rows):
+        both = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(c).combine_chunks()]) for c, kind in (("sets", np.int64), ("own", np.uint32))]
+        names, place = np.unique(both[0], return_inverse=True)
+        return pa.table({"set": names, "own": np.bincount(place, both[1]).astype(np.int64)})
+
+    counted = blocks.groupBy("range").applyInArrow(count, "bucket int, sets binary, own binary")
+    return counted.groupBy("bucket").applyInArrow(add, "set long, own long")
+
+
 def _shared(blocks: DataFrame) -> DataFrame:
     """set, size, kinds, key, df: the entries whose key several sets have."""
 
     def count(_, rows):
-        keys, sets, sizes, kinds = [], [], [], []
-        for row in rows.select(["keys", "places", "sets", "sizes", "kinds"]).to_pylist():
-            place = np.frombuffer(row["places"], np.uint16)
-            low = np.zeros((len(place), 8), np.uint8)
-            low[:, :6] = np.frombuffer(row["keys"], np.uint8).reshape(6, -1).T
-            keys.append(low.view(np.int64).ravel())
-            for out, name, kind in ((sets, "sets", np.int64), (sizes, "sizes", np.uint32), (kinds, "kinds", np.uint32)):
-                out.append(np.frombuffer(row[name], kind)[place])
-        keys, sets, sizes, kinds = map(np.concatenate, (keys, sets, sizes, kinds))
-
-        def several(k):
-            """Of sorted keys, those that stand there more than once."""
-            same = k[1:] == k[:-1]
-            return np.concatenate([same, [False]]) | np.concatenate([[False], same])
-
-        order = np.argsort(keys)
-        order = order[several(keys[order])]
-        order = order[np.lexsort((sets[order], keys[order]))]
-        k, s = keys[order], sets[order]
-        if len(order):
-            order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])]  # equal sets of several tasks
-            order = order[several(keys[order])]
-        k = keys[order]
-        _, place, df = np.unique(k, return_inverse=True, return_counts=True)
-        return pa.table({"set": sets[order], "size": sizes[order].astype(np.int64), "kinds": kinds[order].astype(np.int64), "key": k, "df": df[place].astype(np.int64)})
+        keys, sets, sizes = _entries(rows, True)
+        use = _several(keys)
+        keys, sets, sizes = keys[use], sets[use], sizes[use].astype(np.int64)
+        _, place, df = np.unique(keys, return_inverse=True, return_counts=True)
+        return pa.table({"set": sets, "size": sizes[:, 0], "kinds": sizes[:, 1], "key": keys, "df": df[place].astype(np.int64)})
 
     return blocks.groupBy("range").applyInArrow(count, "set long, size long, kinds long, key long, df long")
 
@@ -319,11 +355,8 @@ def _listed_together(listed: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(star, "a long, b long")
 
 
-def _paged(members: DataFrame, texts: DataFrame, where: DataFrame, spread: int, p: JoinParameters) -> DataFrame:
-    """Links a, b from pages: members has set, page, bin, label, asks; pages of one bin are handled in one go.
-
-    where: the row (id, h) of texts whose text makes a set.
-    """
+def _paged(members: DataFrame, texts: DataFrame, spread: int, p: JoinParameters) -> DataFrame:
+    """Links a, b from pages: members has set, page, bin, label, asks; pages of one bin are handled in one go."""
 
     def run(pages):
         pages = pages.drop_duplicates(["page", "set"])
@@ -334,7 +367,7 @@ def _paged(members: DataFrame, texts: DataFrame, where: DataFrame, spread: int,
         pairs = linked(sets, group, labels, pages["asks"].to_numpy(), p)
         return pd.DataFrame({"a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs]}, dtype="int64")
 
-    with_text = members.join(where, "set").join(texts, ["id", "h"]).select("bin", "page", "set", "label", "asks", "text")
+    with_text = members.join(texts, "set").select("bin", "page", "set", "label", "asks", "text")
     return with_text.repartition(int(max(8, min(spread, 20_000))), "bin").groupBy("bin").applyInPandas(run, "a long, b long")
 
 
@@ -353,17 +386,54 @@ def _known(docs: DataFrame, p: JoinParameters, key: str, text: str) -> tuple[Dat
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     known = written(_signed(rows, p), "signatures")
+    none = spark.createDataFrame([], "a long, b long")
     total = known.agg(F.sum("n")).first()[0]
     if not total:
-        return known, spark.createDataFrame([], "a long, b long")
-    listed = written(_listed(_shared(_blocks(rows, max(8, math.ceil(total / p.range_entries)), p)), p), "listed")
-    clusters = components(_listed_together(listed)).withColumnsRenamed({"node": "set", "component": "cluster"})
+        return known, none
+    ranges = lambda volume: max(8, math.ceil(volume / p.range_entries))
     # where a set's text is to be found: null ids are as good as others
-    place = F.min(F.struct(F.coalesce("id", F.lit(-1 << 63)).alias("id"), "h"))
+    id_or_none = F.coalesce("id", F.lit(-1 << 63))
+    place = F.min(F.struct(id_or_none.alias("id"), "h"))
     of = known.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), place.alias("w")).select("set", "n", "w.id", "w.h")
-    sized = written(clusters.join(of, "set"), "clusters")
-    texts = rows.select(F.coalesce("id", F.lit(-1 << 63)).alias("id"), "h", "text")
-    return known, _links(spark, sized, listed, texts, p)
+    own = _own(_blocks(rows, ranges(total), p, False), max(8, math.ceil(total / 100_000_000)))
+    first = F.col("n") - F.ceil(F.col("n") * p.percent / F.lit(100)) + 1
+    left = written(of.join(own, "set", "left").where(F.coalesce("own", F.lit(0)) < first).select("set", "n", "id", "h"), "left")
+    volume = left.agg(F.sum("n")).first()[0]
+    if not volume:
+        return known, none
+    wanted = left.select("id", "h", "set")
+    texts = _passed(rows.select(id_or_none.alias("id"), "h", "text"), wanted, p).join(wanted, ["id", "h"]).select("set", "text")
+    texts = written(texts, "texts")
+    listed = written(_listed(_shared(_blocks(texts, ranges(volume), p, True)), p), "listed")
+    clusters = components(_listed_together(listed)).withColumnsRenamed({"node": "set", "component": "cluster"})
+    sized = written(clusters.join(left.select("set", "n"), "set"), "clusters")
+    links = _links(spark, sized, listed, texts, p)
+    discard(left)
+    return known, links
+
+
+def _passed(rows: DataFrame, wanted: DataFrame, p: JoinParameters) -> DataFrame:
+    """Of rows (id, h, text), those that wanted (id, h) may have; a join has to follow.
+
+    Bits at hashes of what is wanted, of which the parameters fix the number, are gathered and broadcast, so the texts
+    of most documents stay where they are. Where more is wanted than the bits tell apart, more texts pass.
+    """
+    place = F.xxhash64("id", "h").bitwiseAND((1 << p.filter_bits) - 1)
+    set_bits = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(bigint(1), int(place & 63)))").alias("bits"))
+    found = set_bits.toArrow()  # a row for each word of the filter at most
+    words = np.zeros(1 << max(p.filter_bits - 6, 0), np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        words = shared.value
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            use = (words[at >> 6] >> (at & 63)) & 1
+            if use.any():
+                yield batch.filter(pa.array(use.astype(bool))).select(["id", "h", "text"])
+
+    return rows.withColumn("place", place).mapInArrow(run, "id long, h long, text string")
 
 
 def _rooted(known: DataFrame, found: DataFrame) -> DataFrame:
@@ -390,19 +460,18 @@ def join(docs: DataFrame, p: JoinParameters | None = None, key: str = "doc_id",
 
 
 def _links(spark: SparkSession, sized: DataFrame, listed: DataFrame, texts: DataFrame, p: JoinParameters) -> DataFrame:
-    """Links a, b within clusters (set, cluster, n, id, h); a written table."""
+    """Links a, b within clusters (set, cluster, n); a written table."""
     volume = sized.groupBy("cluster").agg(F.sum("n").alias("volume"), F.count("*").alias("members"))
     volume = written(volume.withColumn("pages", F.least(F.greatest(F.lit(1).cast("long"), F.ceil(F.col("volume") / p.page_shingles)), F.col("members"))), "volumes")
     total, most = volume.agg(F.sum("volume"), F.max("pages")).first()
     if not total:
         return spark.createDataFrame([], "a long, b long")
-    where = sized.select("set", "id", "h")
     bins = max(1, math.ceil(2 * total / p.page_shingles))
     placed = sized.join(volume.select("cluster", "pages"), "cluster")
     one = placed.where("pages = 1")
     small = one.select("set", F.concat_ws(":", F.lit("s"), "cluster").alias("page"), F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("bin"), F.col("set").alias("label"), F.lit(True).alias("asks"))
     if most <= 1:
-        return written(_paged(small, texts, where, bins, p), "links")
+        return written(_paged(small, texts, bins, p), "links")
     many = written(placed.where("pages > 1").select("set", "cluster", F.pmod(F.xxhash64("set"), F.col("pages")).cast("int").alias("page_no")), "paged")
     # pivots: a bounded number of sets of each cluster, by the smallest hashes of theirs; names of sets are hashes
     order = Window.partitionBy("cluster").orderBy("share")
@@ -412,7 +481,7 @@ def _links(spark: SparkSession, sized: DataFrame, listed: DataFrame, texts: Data
     with_pivots = many.unionByName(pivot_rows).distinct()
     name = F.concat_ws(":", F.lit("l"), "cluster", "page_no")
     large = with_pivots.select("set", name.alias("page"), name.alias("bin"), F.col("set").alias("label"), F.lit(True).alias("asks"))
-    links = written(_paged(small.unionByName(large), texts, where, bins + most, p), "links")
+    links = written(_paged(small.unionByName(large), texts, bins + most, p), "links")
     known = components(links).withColumnsRenamed({"node": "set", "component": "label"})
     labelled = written(many.join(known, "set", "left").select("set", "cluster", "page_no", F.coalesce("label", "set").alias("label")), "labelled")
     weight = labelled.groupBy("cluster", "label").agg(F.count("*").alias("m"))
@@ -432,7 +501,7 @@ def _links(spark: SparkSession, sized: DataFrame, listed: DataFrame, texts: Data
         return own.select("set", page.alias("page"), page.alias("bin"), "label", F.lit(asks).alias("asks")).distinct()
 
     second = meeting(outside, "p", True).unionByName(meeting(labelled, "q", False))
-    more = written(_paged(second, texts, where, bins + most, p), "links")
+    more = written(_paged(second, texts, bins + most, p), "links")
     return links.unionByName(more)
 
 
