@@ -1,18 +1,21 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Spans of four kinds. The base finds emails, addresses, cards and phones by fixed patterns. Looser patterns propose more
-candidates (written-out emails, addresses with colons, national phone numbers, shorter cards). On every candidate,
+candidates (written-out emails, addresses with colons, national phone numbers, shorter cards) and those of a fifth kind
+that the base has not, secrets: long runs of hexadecimal digits or of mixed letters and digits. On every candidate,
 base ones included, labelers vote for, against or not at all: the strict pattern, a shape check, a gazetteer of
 domain endings and number prefixes, cue words before it, and its surroundings. Expectation-maximisation over the vote
 patterns of the whole corpus (at most 3^5 for each kind) estimates each labeler's reliability and each pattern's
 posterior. With these as soft labels a naive Bayes classifier of span features is trained, from one aggregate of the
-whole corpus, and accepts the proposed spans that it finds likelier personal than not. Base spans always stay.
+whole corpus, and accepts the proposed spans that it finds likelier personal than not. Base spans always stay. What stands
+behind a word for checksums and the like is no secret, whatever the other labelers say.
 
 Positions are code points, end exclusive. Patterns are written so that a search takes time in proportion to the text:
 a run of characters is entered at its start or where the last match ended, and never given back.
 
 Cases: null and empty texts have no spans. Repeated rows have equal spans. Proposed spans that overlap a base span or
-an earlier proposed one are dropped. Without candidates only the base decides.
+an earlier proposed one are dropped. Written-out emails have local parts and labels of the lengths that mail allows. Very
+long texts are read whole; other columns, of any name, are not read. Without candidates only the base decides.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import bind, table, written
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 # fixed values: the base patterns, entered at the start of a run (or after the last match) and possessive
 _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
@@ -43,19 +47,23 @@ MORE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9A-Za-z])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])(?![A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+(])(?<![0-9)][\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[\x20.-][0-9])",
+    "secret": r"(?<![0-9A-Za-z_+/-])(?:[0-9A-Fa-f]{32,}+|(?=[A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{24,}+)(?![0-9A-Za-z_+/-])",
 }
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel|kontakt)\b",
     "ip": r"(?i)\b(?:ip|ipv6|ipv4|host|address|addr|client|server|from)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|carte|karte|tarjeta|payment)\b",
     "phone": r"(?i)\b(?:phone|tel|telephone|mobile|cell|call|fax|telefon|teléfono|téléphone|handy)\b",
+    "secret": r"(?i)(?:\b|_)(?:token|secret|password|passwd|pwd|api.?key|access.?key|private.?key|credentials?|bearer|auth)\b",
 }
 AGAINST = r"(?i)\b(?:isbn|issn|version|order|invoice|ticket|token|sha\d*|hash|id|no|ref|fig|section|page)\b[\x20.:=#\"]*$"
+NO_SECRET = r"(?i)\b(?:sha\d*|md5|commit|revision|checksum|hash|digest|etag|integrity|uuid|guid)\b[\x20.:=#\"']*$"
 GAZETTEER = {
     "email": r"(?i)(?:\.|dot\W{0,2})(?:com|org|net|edu|gov|io|info|biz|de|fr|es|uk|us|eu|ch|at|it|nl|be|pt|mx|ar|ca|au)$",
     "ip": r"(?i)^(?:2[0-9a-f]{3}|f[cde][0-9a-f]{2}|0{1,4}|10|127|192|172)[:.]",
     "card": r"^(?:3[4-7]|4|5[1-5]|6(?:011|5)|2[2-7])",
     "phone": r"^\+?(?:1[\x20(-]|[2-9]|\(?[2-9][0-9]{2}\)?)",
+    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|(?:sk|pk|gh[pousr]|xox[abp]|AKIA|AIza|eyJ)[0-9A-Za-z_-]+)$",
 }
 SHAPES = ("strict", "shape", "gazetteer", "cue", "around")
 CONTEXT = 40
@@ -130,14 +138,14 @@ def base_spans(text: Column) -> Column:
 
 def proposed_spans(text: Column, base: Column) -> Column:
     """Candidates besides the base, none overlapping a base span or another that comes before it."""
-    found = [matches(text, k, MORE[k], text.rlike(MORE[k])) for k in KINDS]
+    found = [matches(text, k, MORE[k], text.rlike(MORE[k])) for k in ALL_KINDS]
     meets = lambda a, b: (a["first"] < b["last"]) & (b["first"] < a["last"])
     free = F.filter(F.concat(*found), lambda x: ~F.exists(base, lambda b: meets(x, b)))
     return F.aggregate(free, _no_spans(), lambda a, x: F.when(F.exists(a, lambda b: meets(x, b)), a).otherwise(F.array_append(a, x)))
 
 
 def _by_kind(kind: Column, patterns: dict[str, str], on: Column) -> Column:
-    return reduce(lambda a, k: F.when(kind == k, on.rlike(patterns[k])).otherwise(a), KINDS, F.lit(False))
+    return reduce(lambda a, k: F.when(kind == k, on.rlike(patterns[k])).otherwise(a), ALL_KINDS, F.lit(False))
 
 
 def votes(text: Column, x: Column, strict: Column) -> Column:
@@ -146,13 +154,13 @@ def votes(text: Column, x: Column, strict: Column) -> Column:
     before = F.substr(text, F.greatest(x["first"] - CONTEXT, F.lit(0)) + 1, x["first"] - F.greatest(x["first"] - CONTEXT, F.lit(0)))
     after = F.substr(text, x["last"] + 1, F.lit(2))
     digits = _digits(found)
-    shape = F.when(kind == "card", F.when(luhn(digits), 1).otherwise(-1)).when(kind == "phone", F.when(F.length(digits).between(8, 15), 1).when(F.length(digits) < 7, -1).otherwise(0)).when(kind == "ip", 1).otherwise(F.when(F.length(found).between(6, 120), 1).otherwise(-1))
+    shape = F.when(kind == "card", F.when(luhn(digits), 1).otherwise(-1)).when(kind == "phone", F.when(F.length(digits).between(8, 15), 1).when(F.length(digits) < 7, -1).otherwise(0)).when(kind == "ip", 1).when(kind == "secret", F.when(found.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]") & (F.size(F.array_distinct(F.split(found, ""))) >= 10), 1).otherwise(-1)).otherwise(F.when(F.length(found).between(6, 120), 1).otherwise(-1))
     joined = before.rlike(r"[A-Za-z0-9_/\\=#]$") | after.rlike(r"^(?:[A-Za-z_/\\#]|[.,][0-9])")
     return F.struct(
         strict.cast("int").alias("strict"),
         shape.alias("shape"),
         F.when(_by_kind(kind, GAZETTEER, found), 1).otherwise(-1).alias("gazetteer"),
-        F.when(before.rlike(AGAINST), -1).when(_by_kind(kind, CUES, before), 1).otherwise(0).alias("cue"),
+        F.when(F.when(kind == "secret", before.rlike(NO_SECRET)).otherwise(before.rlike(AGAINST)), -1).when(_by_kind(kind, CUES, before), 1).otherwise(0).alias("cue"),
         F.when(joined, -1).otherwise(0).alias("around"),
     )
 
@@ -232,14 +240,14 @@ def detect(docs: DataFrame, p: PiiParameters | None = None, key: str = "doc_id",
         return F.coalesce(F.try_element_at(prior, label), F.lit(0.0)) + score / 4
 
     plain = lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["last"].alias("last"))
-    chosen = F.when(F.size("more") == 0, F.array().cast("array<struct<kind:string,first:int,last:int>>")).otherwise(bind(w, lambda w: bind(prior, lambda o: F.transform(F.filter("more", lambda x: value(x, w, o) > math.log(p.accept / (1 - p.accept))), plain))))
+    chosen = F.when(F.size("more") == 0, F.array().cast("array<struct<kind:string,first:int,last:int>>")).otherwise(bind(w, lambda w: bind(prior, lambda o: F.transform(F.filter("more", lambda x: (value(x, w, o) > math.log(p.accept / (1 - p.accept))) & ~((x["kind"] == "secret") & (x["v"]["cue"] < 0))), plain))))
     base = F.transform("base", plain)
     return rows.select("doc_id", *row, base.alias("base"), F.concat(base, chosen).alias("spans"))
 
 
 def written_out(spans: Column) -> Column:
     """kind:start:end by kind as listed, then by start, comma-joined."""
-    number = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
+    number = lambda k: F.array_position(F.array(*[F.lit(x) for x in ALL_KINDS]), k)
     ranked = F.array_sort(F.transform(spans, lambda x: F.struct(number(x["kind"]).alias("n"), x["first"].alias("first"), x["last"].alias("last"), x["kind"].alias("kind"))))
     return F.array_join(F.transform(ranked, lambda x: F.concat_ws(":", x["kind"], x["first"].cast("string"), x["last"].cast("string"))), ",")
 
@@ -264,4 +272,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detect(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda x: x["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -125,6 +125,49 @@ def test_neighbours_of_many_isotropic_rows(spark, tmp_path):
     assert hit / (n // 1000 * 20) >= 0.9
 
 
+def _exact(x, q, k):
+    s = x @ x[q]
+    s[q] = -np.inf
+    return np.lexsort((np.arange(len(x)), -s))[:k]
+
+
+def test_neighbours_of_clusters(spark):
+    """Where few lists hold the neighbours, few are probed: less than a fifth of them here, at a recall of 0.9 or more."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(300, 24))[rng.integers(0, 300, 30_000)] + 0.1 * rng.normal(size=(30_000, 24))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    p = neighbours.NeighbourParameters(probes=4, first=2, block_rows=2048)
+    rows = vectors.selectExpr("vec_id as id", "embedding as v")
+    index = neighbours.build(rows, p)
+    assert len(index.centroids) > 100
+    shared = spark.sparkContext.broadcast(index)
+    placed = rows.mapInPandas(lambda frames: (f.assign(list=shared.value.distances(shared.value.place(np.stack(f["v"]).astype(float))).argmin(1).astype("int32")) for f in frames), "id long, v array<float>, list int")
+    asked = rows.where("id % 300 = 0")
+    assert neighbours.probes_needed(placed, asked, index, p) < len(index.centroids) / 5
+    found = neighbours.search(vectors, vectors.where("vec_id % 300 = 0"), p).toPandas()
+    x = x.astype(float)
+    hit = sum(len(set(_exact(x, q, 20)) & set(found[found.query_id == q].vec_id)) for q in range(0, 30_000, 300))
+    assert hit / (100 * 20) >= 0.9 and (found.groupby("query_id").size() == 20).all()
+    for r in found.itertuples():
+        assert r.score == pytest.approx(x[r.query_id] @ x[r.vec_id], rel=1e-12)
+
+
+def test_neighbours_of_odd_rows(spark):
+    """Other lengths first, null and repeated ids, ties, clashing columns, and fewer candidates than asked for."""
+    rows = [(900, [1.0, 2.0, 3.0], 0.5, 1), (None, [1.0, 1.0], 0.5, 1)] + [(i, [float(i % 7), 1.0], 0.5, 1) for i in range(59)] + [(20, [9.0, 9.0], 0.5, 1), (40, [float(40 % 7), 1.0], 0.5, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int")
+    found = neighbours.search(vectors, vectors.where("vec_id % 20 = 0")).toPandas()
+    assert found.columns.tolist() == ["query_id", "rank", "vec_id", "score"]
+    points = [(i, v) for i, v, *_ in rows[2:]]
+    for q, vector in {(i, tuple(v)) for i, v in points if i % 20 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, vector, strict=True)), i) for i, v in points if i != q)[:20]
+        own = found[found.query_id == q]
+        got = [(-s, i) for s, i in zip(own.score, own.vec_id, strict=True)]
+        assert all(x in got for x in best) and len(own) == (40 if q == 20 else 20)
+    few = vectors.where("vec_id < 5")
+    assert neighbours.search(few, few.where("vec_id = 0")).count() == 4
+
+
 def test_encoder_agrees_with_the_tokenizer():
     texts = [
         "naïve, señor. über$$$ à l'été. ÿ, ßa, íñ÷ ÷a ÀÉ, éa\u0301. x\u00adé déjà-vu éàíïð×þ 12é4",
@@ -141,6 +184,17 @@ def test_encoder_agrees_with_the_tokenizer():
     assert encode([]) == []
 
 
+def test_another_tokenizer_is_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"[x]": 0, "Word": 1, "word": 3, "a": 4}, unk_token="[x]"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(f"{tmp_path}/t.json")
+    encode = packing.Encoder(packing.PackingParameters(tokenizer=f"{tmp_path}/t.json"))
+    assert not encode.by_word and [x.tolist() for x in encode(["Word word", None, "a b"])] == [[1, 3, 2], [2], [4, 0, 2]]
+    assert packing.Encoder(packing.PackingParameters()).by_word
+
+
 def test_packing_round_trip(odd, empty):
     from tokenizers import Tokenizer
 
@@ -339,6 +393,21 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0), new_path(spark, "warc")).count() == 0
 
 
+def test_warc_of_other_columns_and_long_payloads(spark):
+    rows = [(1, "x" * 3_000_000, 5, "a"), (2, "x" * 3_000_000, 6, "b"), (None, "y", 7, None), (None, "y", 7, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, payload_bytes int, record_type string")
+    found = Counter((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages, new_path(spark, "warc")).collect())
+    assert found == Counter({(1, None, 3_000_000, "revisit", 2): 1, (2, None, 3_000_000, "response", None): 1, (None, None, 1, "response", None): 2})
+
+
+def test_warc_records_have_the_mandatory_fields():
+    for page in (5, None):
+        record = warc._record(page, "u", b"body", 4, hashlib.sha1(b"body").hexdigest(), None, "2001-02-03T04:05:06Z", "0 0 0").decode()
+        for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"):
+            assert f"\r\n{name}: " in record
+        assert warc.parse(record.encode())["page_id"] == page
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -456,3 +525,39 @@ def test_quality_verdict_is_that_of_the_cutoffs(spark):
     kept = {m["doc_id"] for m in measures if m["doc_id"] not in failed and all(m[r] <= cuts.get((m["stratum"], r), 1) for r in quality.RULES)}
     assert {r.doc_id for r in quality.judge(docs, labels, p).where("kept").collect()} == kept
     assert len(cuts) > 6 and len(kept) < 900 - len(failed)
+
+
+def test_pii_adds_what_its_labelers_agree_on(spark):
+    """Written-out emails, national numbers and secrets in fitting surroundings are added; look-alikes are not."""
+    rng = np.random.default_rng(4)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(120)]
+    texts, wanted = [], []
+    for i in range(120):
+        number = f"{rng.integers(200, 999)}-{rng.integers(100, 999)}-{rng.integers(1000, 9999)}"
+        made = [(f"please write an email to user{i} [at] mail{i % 9} [dot] com today", "email"), (f"call my phone {number} at noon", "phone"), (f'the token = "{hexes[i]}" is new', "secret"), (f"order ref {number}/x as said", None), (f"commit {hexes[i]} is merged", None), ("plain words only", None), (f"mail bob{i}@site.org now", "email")][i % 7]
+        texts.append(made[0])
+        wanted.append(made[1])
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    found = {r.doc_id: r for r in pii.detect(docs).collect()}
+    for i, kind in enumerate(wanted):
+        kinds = [s.kind for s in found[i].spans]
+        assert kinds == ([kind] if kind else []), (texts[i], kinds)
+        assert [s.kind for s in found[i].base] == (["email"] if i % 7 == 6 else [])
+        if kind == "secret":
+            assert texts[i][found[i].spans[0].first : found[i].spans[0].last] == hexes[i]
+
+
+def test_pii_posteriors_are_those_of_the_mixture():
+    """Expectation-maximisation against the same model fitted by brute force on drawn votes: reliable labelers are found."""
+    rng = np.random.default_rng(1)
+    truth = rng.random(20_000) < 0.4
+    right = np.array([0.95, 0.9, 0.85, 0.6, 0.5])
+    votes = np.where(rng.random((20_000, 5)) < right, np.where(truth, 1, -1)[:, None], np.where(truth, -1, 1)[:, None])
+    counted = Counter(map(tuple, votes.tolist()))
+    post = pii._expectation_maximisation(list(counted.items()), pii.PiiParameters())
+    exact = {}
+    for x in counted:
+        yes = 0.4 * np.prod(np.where(np.array(x) == 1, right, 1 - right))
+        no = 0.6 * np.prod(np.where(np.array(x) == -1, right, 1 - right))
+        exact[x] = yes / (yes + no)
+    assert sum(n * abs(post[x] - exact[x]) for x, n in counted.items()) / 20_000 < 0.03
