@@ -1,55 +1,20 @@
-"""Shared plumbing of the corpus operators: inputs, written intermediates, folds and slices of text."""
+"""Shared plumbing of the corpus operators: inputs, folds and slices of text; written intermediates are those of the engine."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, new_path, shared_folder, written
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="halocline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+__all__ = ["bind", "discard", "fold", "new_path", "shared_folder", "slices", "table", "written"]
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, what)
-    schema = df.schema
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that no later plan reads: their readers' results are written themselves by now."""
-    for df in tables:
-        path = getattr(df, "written_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def bind(value: Column, use) -> Column:
