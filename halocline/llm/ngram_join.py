@@ -10,9 +10,11 @@ Which sets meet in a tree:
 1. Documents of equal sets become one: the 64-bit hash of a whole set is its name from here on.
 2. Any order of shingles serves a prefix filter: two sets within the threshold t share one of the n - ceil(t n) + 1
    first of each. With the rarest first, a set of so many shingles that no other set has is linked with none, which
-   settles most documents. Shingles are counted over all distinct sets for this: tasks send sorted blocks of (48 bits
-   of the shingle, set) to ranges of the hash, each of a bounded number of entries, and of a range only each set's
-   number of shingles of its own goes on.
+   settles most documents. Shingles are counted over all sets for this: tasks send sorted blocks of (first bits of the
+   shingle, place of its set in the block) to ranges of the hash, each of a bounded number of entries, and of a range
+   only the places of shingles that stand there once go back to their block, which adds them up. Steps from shingle to
+   shingle and places take about 5 bytes an entry together, however many ranges there are. Where bits or equal sets
+   of two blocks hide that a shingle is a set's own, the set is left, and the next steps, which are exact, settle it.
 3. The sets left are counted once more among themselves, and each is listed under the first of its shingles that others
    have too. Documents that share a common passage but no more are not listed together. This loses no pair. Listings
    are combined before they are shuffled, so a key that very many sets have sends one row from each task, and a star
@@ -188,8 +190,117 @@ def _signed(docs: DataFrame, p: JoinParameters) -> DataFrame:
     return docs.mapInArrow(run, "id long, h long, n long, set long")
 
 
-def _blocks(docs: DataFrame, ranges: int, p: JoinParameters, with_sizes: bool) -> DataFrame:
-    """range, and entries (48 bits of a shingle, place of its set) of that range, with the names and, if so, sizes of the sets."""
+def _filled(docs: DataFrame, p: JoinParameters, cut, schema: str) -> DataFrame:
+    """What cut yields of blocks [(name, set)] of a bounded number of entries and fewer than 65535 distinct sets."""
+
+    def run(batches):
+        held, size, seen = [], 0, set()
+        for _, texts in slices(batches, "text"):
+            for t in texts:
+                s = shingles(t, p.words)
+                name = name_of(s)
+                if not len(s) or name in seen:
+                    continue
+                seen.add(name)
+                held.append((name, s))
+                size += len(s)
+                if size >= p.block_entries or len(held) == 0xFFFE:
+                    yield from cut(held)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield from cut(held)
+
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the largest needs, byte by byte, as upper bytes compress; the first byte tells how many."""
+    size = max(1, -(-int(x.max()).bit_length() // 8))
+    return bytes([size]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    size = int(data[0])
+    out = np.zeros(((len(data) - 1) // size, 8), np.uint8)
+    out[:, :size] = data[1:].reshape(size, -1).T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _buffers(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    return [None if x.as_buffer() is None else np.frombuffer(x.as_buffer(), np.uint8) for x in column.combine_chunks()]
+
+
+def _steps(docs: DataFrame, ranges: int, bits: int, p: JoinParameters) -> DataFrame:
+    """range, block, entries of that range: the step from one shingle (its first bits) to the next, above shift bits of its set's place in the block.
+
+    A shingle that several of a block's sets have is there once, at a place that no set has. One row of each block has
+    the names of its sets. The block's own name comes from theirs, so other rows of a task that ran again don't match it.
+    """
+    bounds = np.array([-(-(i << bits) // ranges) for i in range(ranges)], np.uint64)
+
+    def cut(held):
+        keys = [np.unique(s >> np.uint64(64 - bits)) for _, s in held]
+        entries = np.sort(np.concatenate([k << np.uint64(16) | np.uint64(i) for i, k in enumerate(keys)]))
+        key, place = entries >> np.uint64(16), entries & np.uint64(0xFFFF)
+        place[_several(key)] = len(held)
+        first = np.diff(key, prepend=key[0] + np.uint64(1)) != 0
+        key, place = key[first], place[first]
+        cuts = np.append(np.searchsorted(key, bounds), len(key))
+        some = np.flatnonzero(np.diff(cuts))
+        step = np.diff(key, prepend=np.uint64(0))
+        step[cuts[some]] = key[cuts[some]] - bounds[some]
+        shift = len(held).bit_length()
+        step = step << np.uint64(shift) | place
+        names = np.array([name for name, _ in held], np.int64)
+        block = name_of(names)
+        told = some[block % len(some)]
+        for at in range(0, len(some), 256):
+            own = some[at : at + 256]
+            columns = [own.astype(np.int32), np.full(len(own), block), np.full(len(own), shift, np.int32), [_packed(step[cuts[r] : cuts[r + 1]]) for r in own], [names.tobytes() if r == told else None for r in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["range", "block", "shift", "entries", "sets"])
+
+    return _filled(docs, p, cut, "range int, block long, shift int, entries binary, sets binary")
+
+
+def _own(docs: DataFrame, total: int, p: JoinParameters) -> DataFrame:
+    """set, own: how many shingles each set has that no other set has; without a row it has none, or they were not told apart.
+
+    total: how many shingles all the sets of docs have. Of a shingle so many bits count that few of different ones agree
+    in them, and a set that stands in several blocks shares all with itself: both make shingles too few, never too many.
+    """
+    bits = min(48, max(32, int(total).bit_length() + 6))
+
+    def count(_, rows):
+        parts = [_unpacked(x) for x in _buffers(rows.column("entries"))]
+        shifts = rows.column("shift").to_pylist()
+        keys = np.concatenate([np.cumsum(x >> n) for x, n in zip(parts, shifts, strict=True)])
+        order = np.argsort(keys)
+        alone = np.empty(len(keys), bool)
+        alone[order] = ~_several(keys[order])
+        alone = np.split(alone, np.cumsum([len(x) for x in parts])[:-1])
+        places = [np.sort((x & ((1 << n) - 1))[use]) for x, n, use in zip(parts, shifts, alone, strict=True)]
+        own = [_packed(np.diff(x, prepend=0)) if len(x) else None for x in places]
+        return pa.table({"block": rows.column("block"), "own": pa.array(own, pa.binary()), "sets": rows.column("sets")})
+
+    def add(_, rows):
+        names = next((x.view(np.int64) for x in _buffers(rows.column("sets")) if x is not None), np.zeros(0, np.int64))
+        own = np.zeros(len(names) + 1, np.int64)
+        for x in _buffers(rows.column("own")):
+            if x is not None:
+                own += np.bincount(np.minimum(np.cumsum(_unpacked(x)), len(names)), minlength=len(own))
+        use = np.flatnonzero(own[:-1])
+        return pa.table({"set": names[use], "own": own[use]})
+
+    counted = _steps(docs, _ranges(total, p), bits, p).groupBy("range").applyInArrow(count, "block long, own binary, sets binary")
+    return counted.where("own is not null or sets is not null").groupBy("block").applyInArrow(add, "set long, own long")
+
+
+def _ranges(volume: int, p: JoinParameters) -> int:
+    return max(8, math.ceil(volume / p.range_entries))
+
+
+def _blocks(docs: DataFrame, ranges: int, p: JoinParameters) -> DataFrame:
+    """range, and entries (48 bits of a shingle, place of its set) of that range, with the names and sizes of the sets."""
     bounds = np.array([-(-(i << 48) // ranges) << 16 for i in range(1, ranges)], np.uint64)
 
     def cut(held):
@@ -206,28 +317,11 @@ def _blocks(docs: DataFrame, ranges: int, p: JoinParameters, with_sizes: bool) -
                     sets, place = np.unique((own & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
                     # byte by byte, as the upper bytes of sorted entries compress
                     key = (own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
-                    rows.append((number, key, place.astype(np.uint16).tobytes(), names[sets].tobytes(), *([sizes[sets].tobytes(), kinds[sets].tobytes()] if with_sizes else [None, None])))
+                    rows.append((number, key, place.astype(np.uint16).tobytes(), names[sets].tobytes(), sizes[sets].tobytes(), kinds[sets].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["range", "keys", "places", "sets", "sizes", "kinds"])
 
-    def run(batches):
-        held, size, seen = [], 0, set()
-        for _, texts in slices(batches, "text"):
-            for t in texts:
-                s = shingles(t, p.words)
-                name = name_of(s)
-                if not len(s) or name in seen:
-                    continue
-                seen.add(name)
-                held.append((name, s))
-                size += len(s)
-                if size >= p.block_entries or len(held) == 0xFFFF:
-                    yield from cut(held)
-                    held, size, seen = [], 0, set()
-        if held:
-            yield from cut(held)
-
-    return docs.select("text").mapInArrow(run, "range int, keys binary, places binary, sets binary, sizes binary, kinds binary")
+    return _filled(docs, p, cut, "range int, keys binary, places binary, sets binary, sizes binary, kinds binary")
 
 
 def _several(k: np.ndarray) -> np.ndarray:
@@ -236,20 +330,19 @@ def _several(k: np.ndarray) -> np.ndarray:
     return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(k) else np.zeros(0, bool)
 
 
-def _entries(rows: pa.Table, with_sizes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def _entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, names and (size, kinds) of a range's sets, in order of keys and, under one that has several, of names."""
     parts = [x for batch in rows.select(["keys", "places", "sets", "sizes", "kinds"]).to_batches() for x in zip(*(batch.column(c) for c in range(5)), strict=True)]
     places = [np.frombuffer(x[1].as_buffer(), np.uint16) for x in parts]
     ends = np.cumsum([len(p) for p in places])
     keys, sets = np.zeros(ends[-1], np.int64), np.empty(ends[-1], np.int64)
-    sizes = np.empty((ends[-1], 2), np.uint32) if with_sizes else None
+    sizes = np.empty((ends[-1], 2), np.uint32)
     wide = keys.view(np.uint8).reshape(-1, 8)
     for (k, _, names, n, kinds), place, end in zip(parts, places, ends, strict=True):
         at = slice(end - len(place), end)
         wide[at, :6] = np.frombuffer(k.as_buffer(), np.uint8).reshape(6, -1).T
         sets[at] = np.frombuffer(names.as_buffer(), np.int64)[place]
-        if with_sizes:
-            sizes[at] = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in (n, kinds)], 1)[place]
+        sizes[at] = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in (n, kinds)], 1)[place]
     order = np.argsort(keys)
     again = np.flatnonzero(_several(keys[order]))
     if len(again):
@@ -257,36 +350,14 @@ def _entries(rows: pa.Table, with_sizes: bool) -> tuple[np.ndarray, np.ndarray,
         order[again] = part[np.lexsort((sets[part], keys[part]))]
         k, s = keys[order], sets[order]
         order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])]  # equal sets of several tasks
-    return keys[order], sets[order], sizes[order] if with_sizes else None
-
-
-def _own(blocks: DataFrame, buckets: int) -> DataFrame:
-    """set, own: how many keys each set has that no other set has; without a row it has none."""
-
-    def count(_, rows):
-        keys, sets, _ = _entries(rows, False)
-        names, own = np.unique(sets[~_several(keys)], return_counts=True)
-        bucket = (_mixed(names.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(1, buckets))
-        names, own = np.split(names[order], cuts), np.split(own[order].astype(np.uint32), cuts)
-        some = [b for b in range(buckets) if len(names[b])]
-        return pa.table({"bucket": pa.array(some, pa.int32()), "sets": pa.array([names[b].tobytes() for b in some], pa.binary()), "own": pa.array([own[b].tobytes() for b in some], pa.binary())})
-
-    def add(_, rows):
-        both = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(c).combine_chunks()]) for c, kind in (("sets", np.int64), ("own", np.uint32))]
-        names, place = np.unique(both[0], return_inverse=True)
-        return pa.table({"set": names, "own": np.bincount(place, both[1]).astype(np.int64)})
-
-    counted = blocks.groupBy("range").applyInArrow(count, "bucket int, sets binary, own binary")
-    return counted.groupBy("bucket").applyInArrow(add, "set long, own long")
+    return keys[order], sets[order], sizes[order]
 
 
 def _shared(blocks: DataFrame) -> DataFrame:
     """set, size, kinds, key, df: the entries whose key several sets have."""
 
     def count(_, rows):
-        keys, sets, sizes = _entries(rows, True)
+        keys, sets, sizes = _entries(rows)
         use = _several(keys)
         keys, sets, sizes = keys[use], sets[use], sizes[use].astype(np.int64)
         _, place, df = np.unique(keys, return_inverse=True, return_counts=True)
@@ -390,12 +461,11 @@ def _known(docs: DataFrame, p: JoinParameters, key: str, text: str) -> tuple[Dat
     total = known.agg(F.sum("n")).first()[0]
     if not total:
         return known, none
-    ranges = lambda volume: max(8, math.ceil(volume / p.range_entries))
     # where a set's text is to be found: null ids are as good as others
     id_or_none = F.coalesce("id", F.lit(-1 << 63))
     place = F.min(F.struct(id_or_none.alias("id"), "h"))
     of = known.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), place.alias("w")).select("set", "n", "w.id", "w.h")
-    own = _own(_blocks(rows, ranges(total), p, False), max(8, math.ceil(total / 100_000_000)))
+    own = _own(rows, total, p)
     first = F.col("n") - F.ceil(F.col("n") * p.percent / F.lit(100)) + 1
     left = written(of.join(own, "set", "left").where(F.coalesce("own", F.lit(0)) < first).select("set", "n", "id", "h"), "left")
     volume = left.agg(F.sum("n")).first()[0]
@@ -404,11 +474,11 @@ def _known(docs: DataFrame, p: JoinParameters, key: str, text: str) -> tuple[Dat
     wanted = left.select("id", "h", "set")
     texts = _passed(rows.select(id_or_none.alias("id"), "h", "text"), wanted, p).join(wanted, ["id", "h"]).select("set", "text")
     texts = written(texts, "texts")
-    listed = written(_listed(_shared(_blocks(texts, ranges(volume), p, True)), p), "listed")
+    listed = written(_listed(_shared(_blocks(texts, _ranges(volume, p), p)), p), "listed")
     clusters = components(_listed_together(listed)).withColumnsRenamed({"node": "set", "component": "cluster"})
     sized = written(clusters.join(left.select("set", "n"), "set"), "clusters")
     links = _links(spark, sized, listed, texts, p)
-    discard(left)
+    discard(left, texts, listed, sized)
     return known, links
 
 

@@ -87,6 +87,36 @@ def test_join_of_odd_rows(odd, empty):
     assert ngram_join.join(empty).count() == 0
 
 
+def test_counting_shingles_takes_few_bytes_in_many_ranges(spark):
+    """As many ranges as several GB have, in which no set has two shingles: names of sets do not go along with each."""
+    docs = spark.range(0, 2000, 1, 4).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 250), i -> string(hash(id, i))), ' ')").alias("text"))
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    found = ngram_join.join(docs, ngram_join.JoinParameters(words=3, percent=90, range_entries=1000))
+    assert found.where("component_id = doc_id and n_shingles = 248").count() == 2000
+    assert shuffled() - before < 10 * 2000 * 248
+
+
+def test_own_shingles_are_never_too_many(spark):
+    """Sets in one block or several, with copies, and shingles that some share."""
+    rows = [(i, " ".join([*(f"w{i}x{k}" for k in range(40)), *(f"s{i % 7}x{k}" for k in range(30))])) for i in range(60)] + [(100 + i, "a b c d e") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {ngram_join.name_of(s): set(s.tolist()) for s in (ngram_join.shingles(t, 3) for _, t in rows)}
+    held = Counter(x for s in sets.values() for x in s)
+    for block in (1_000_000, 500, 1):
+        found = ngram_join._own(docs, 5000, ngram_join.JoinParameters(words=3, percent=90, range_entries=100, block_entries=block)).collect()
+        own = {r.set: r.own for r in found}
+        assert len(own) == len(found)
+        for name, s in sets.items():
+            exact = sum(held[x] == 1 for x in s)
+            assert own.get(name, 0) == exact or len(s) == 3 and own.get(name, 0) == 0  # copies in several blocks
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, x) for x in range(101, 140)] + [(139, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
