@@ -117,6 +117,20 @@ def test_own_shingles_are_never_too_many(spark):
             assert own.get(name, 0) == exact or len(s) == 3 and own.get(name, 0) == 0  # copies in several blocks
 
 
+def test_written_tables_free_their_shuffles(spark):
+    from halocline.llm.common import written
+
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = files(), spark.conf.get(key, None)
+    found = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert found.count() == 7 and spark.conf.get(key, None) == set_to
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, x) for x in range(101, 140)] + [(139, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
