@@ -23,14 +23,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, written
 
-# a last comma or full stop after a letter or digit is a token of its own; letters: those of ASCII, and of Latin-1 in lower case
-_MARKED = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf])[,.]$")
+# a word's last comma or full stop after a letter or digit is a token of its own; letters: those of ASCII, and of Latin-1 in lower case
+_MARK, _BEFORE, _SPACE, _LATIN = 1, 2, 4, 8
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((_MARK, b",."), (_BEFORE, bytes([*range(48, 58), *range(65, 91), *range(97, 123)])), (_SPACE, b" \t\n\x0b\x0c\r"), (_LATIN, bytes([*range(0x9F, 0xB7), *range(0xB8, 0xC0)]))):
+    _KINDS[list(_bytes)] = _kind
 # words of printable ASCII and such letters, without upper case, and without < that may begin a special token
 _SIMPLE = re.compile(rb"(?:[!-;=-@\[-`a-z{-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 # the tokenizer's own rule for what is encoded apart (fixed values), for such words
@@ -73,6 +77,23 @@ class _Numbers(dict):
         return number
 
 
+def _apart(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """texts with a space before each comma or full stop that ends a word and is a token of its own."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if offsets[0] == offsets[-1]:
+        return texts
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kinds = _KINDS[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    at = np.flatnonzero(kinds == _MARK)
+    last = edge[at + 1] | (kinds[np.minimum(at + 1, len(data) - 1)] == _SPACE)
+    after = (kinds[at - 1] == _BEFORE) | (kinds[at - 1] == _LATIN) & (data[at - 2] == 0xC3)
+    at = at[last & after & ~edge[at]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets + np.searchsorted(at, offsets)), pa.py_buffer(np.insert(data, at, 32)))
+
+
 #: texts that tell whether a tokenizer lowers case and cuts words as the encoder does
 PROBES = ("Plain words, and MORE of them.", "don't we'll 's a.b,c 12,3. x_y (z) -- ... #1!", "Über naïve señor, été. ÿ ß ÀÉ ÷ a\u0301", "中文。 ١٢ İ ŉ 😀 ½ \x00 \x85", "a<b <|x|> <|endoftext|>", "tab\tnew\nline  two   spaces ")
 
@@ -103,15 +124,22 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_word:
             return [self._whole(t) for t in texts]
-        # the tokenizer lowers case itself; only its special tokens, which begin with <|, tell cases apart
-        split = [[*(x if b"<|" in x else x.lower()).split(), b""] for x in ((t or "").encode() for t in texts)]
-        if not split:
+        if not texts:
             return []
         if len(self.numbers) > self.most:
             self._forget()
-        sizes = np.array([len(words) for words in split])
-        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        # the tokenizer lowers case itself; only its special tokens, which begin with <|, tell cases apart
+        given = pc.ascii_trim_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        words = pc.ascii_split_whitespace(_apart(pc.if_else(pc.match_substring(given, "<|"), given, pc.ascii_lower(given))))
+        # only distinct words are looked up; an empty text has one word, the empty one, which is the end of a document
+        distinct = words.flatten().dictionary_encode()
+        known = distinct.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, known), np.int64, len(known))[distinct.indices.to_numpy()]
         self._learn()
+        some = pc.not_equal(given, "").to_numpy(zero_copy_only=False)
+        sizes = np.diff(words.offsets.to_numpy())
+        numbers = np.insert(numbers, np.cumsum(sizes)[some], 0)
+        sizes = sizes + some
         ids, ends = self._of(numbers)
         return np.split(ids, ends[np.cumsum(sizes) - 1][:-1])
 
@@ -122,30 +150,21 @@ class Encoder:
         return self.ids[np.repeat(self.first[numbers] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def _learn(self) -> None:
-        """Encodes the new words and appends their ids: first those of words apart, then those of marked ones."""
-        numbers, base = self.numbers, len(self.first)
-        marked = [i for i, w in enumerate(numbers.new) if w.endswith((b",", b".")) and _MARKED.search(w)]
-        pairs = np.fromiter((numbers[part] for w in [numbers.new[i] for i in marked] for part in (w[:-1], w[-1:])), np.int64, 2 * len(marked))
+        """Encodes the new words and appends their ids."""
+        numbers = self.numbers
         found: list = [()] * len(numbers.new)
-        for i in self._encode(numbers.new, set(marked), found):
+        for i in self._encode(numbers.new, found):
             found[i] = self.tokenizer.encode(numbers.new[i].decode(), add_special_tokens=False).ids
         length = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
-        ids, ends = self._of(pairs)
-        at, ends = np.array(marked, np.int64) + base, ends[1::2]
-        self.length[at] = np.diff(ends, prepend=0)
-        self.first[at] = len(self.ids) + ends - self.length[at]
-        self.ids = np.concatenate([self.ids, ids])
         numbers.new.clear()
 
-    def _encode(self, words: list[bytes], skip: set[int], found: list) -> list[int]:
-        """Sets the ids of most words, but for those to skip, and returns the places of those left."""
+    def _encode(self, words: list[bytes], found: list) -> list[int]:
+        """Sets the ids of most words and returns the places of those left."""
         tokenize, letters, rest = self.tokenizer.model.tokenize, [], []
         for i, w in enumerate(words):
-            if i in skip:
-                continue
             # normalising changes neither of these, and the model alone is left to apply to each piece
             if w.isalpha() and w.islower():
                 found[i] = [t.id for t in tokenize(w.decode())]
@@ -181,7 +200,7 @@ def tokenised(docs: DataFrame, p: PackingParameters, key: str = "doc_id", text:
 
     def run(batches):
         encode = None
-        for part, texts in slices(batches, "text", 1_000_000):
+        for part, texts in slices(batches, "text", 4_000_000):
             encode = encode or Encoder(p)
             ids = encode(texts)
             small = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32

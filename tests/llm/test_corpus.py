@@ -228,6 +228,25 @@ def test_encoder_agrees_with_the_tokenizer():
     assert encode([]) == []
 
 
+def test_encoder_looks_up_distinct_words_only():
+    class Counted(packing._Numbers):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    encode = packing.Encoder(packing.PackingParameters())
+    encode._forget()
+    encode.numbers = Counted()
+    encode.numbers[b""] = 0
+    encode._forget = lambda: None
+    texts = ["word word, Word. " * 1000, None, "a, b.", ",x", ".", "é, \n"]
+    found = encode(texts)
+    assert [x.tolist() for x in found] == [encode._whole(t).tolist() for t in texts]
+    assert Counted.asked < 20
+
+
 def test_another_tokenizer_is_encoded_whole(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
