@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import discard, slices, table, written
+from .common import discard, lean, slices, table, written
 from .components import components
 
 
@@ -187,7 +187,7 @@ def _signed(docs: DataFrame, p: JoinParameters) -> DataFrame:
             columns = [part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name_of(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "n", "set"])
 
-    return docs.mapInArrow(run, "id long, h long, n long, set long")
+    return docs.mapInArrow(lean(run), "id long, h long, n long, set long")
 
 
 def _filled(docs: DataFrame, p: JoinParameters, cut, schema: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _filled(docs: DataFrame, p: JoinParameters, cut, schema: str) -> DataFrame:
         if held:
             yield from cut(held)
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(lean(run), schema)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -423,7 +423,7 @@ def _listed_together(listed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     rows = listed.mapInArrow(combine, "key long, id long, to long")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(star, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lean(star), "a long, b long")
 
 
 def _paged(members: DataFrame, texts: DataFrame, spread: int, p: JoinParameters) -> DataFrame:
@@ -503,7 +503,7 @@ def _passed(rows: DataFrame, wanted: DataFrame, p: JoinParameters) -> DataFrame:
             if use.any():
                 yield batch.filter(pa.array(use.astype(bool))).select(["id", "h", "text"])
 
-    return rows.withColumn("place", place).mapInArrow(run, "id long, h long, text string")
+    return rows.withColumn("place", place).mapInArrow(lean(run), "id long, h long, text string")
 
 
 def _rooted(known: DataFrame, found: DataFrame) -> DataFrame:

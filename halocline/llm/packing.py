@@ -19,7 +19,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import arrow_batches, lean, slices, table, written
 
 # a word's last comma or full stop after a letter or digit is a token of its own; letters: those of ASCII, and of Latin-1 in lower case
 _MARK, _BEFORE, _SPACE, _LATIN = 1, 2, 4, 8
@@ -54,6 +54,7 @@ class PackingParameters:
     k1: float = 1.2
     b: float = 0.75
     remembered_words: int = 800_000
+    single_words: int = 250_000  # of words that only one slice of texts had so far, about how many are remembered
 
 
 def tokenizer_path(name: str) -> str:
@@ -101,13 +102,14 @@ PROBES = ("Plain words, and MORE of them.", "don't we'll 's a.b,c 12,3. x_y (z)
 class Encoder:
     """Token ids of texts; words between ASCII white space, which no token crosses, are encoded once and remembered.
 
-    Of a tokenizer that does otherwise, as probes tell, every text is encoded whole.
+    Most words of a corpus are met once, so those that no second slice of texts had are forgotten again and again, and
+    encoded anew if they come back. Of a tokenizer that does otherwise, as probes tell, every text is encoded whole.
     """
 
     def __init__(self, p: PackingParameters):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.end = Tokenizer.from_file(tokenizer_path(p.tokenizer)), p.remembered_words, p.end
+        self.tokenizer, self.most, self.single, self.end = Tokenizer.from_file(tokenizer_path(p.tokenizer)), p.remembered_words, p.single_words, p.end
         self._forget()
         self.by_word = True
         self.by_word = all(x.tolist() == self._whole(t).tolist() for x, t in zip(self(list(PROBES)), PROBES, strict=True))
@@ -120,12 +122,25 @@ class Encoder:
         self.numbers = _Numbers()
         self.numbers[b""] = 0
         self.ids, self.first, self.length = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.again = np.ones(1, bool)  # whether a second slice had the word
+
+    def _forget_single(self) -> None:
+        """Only words that a second slice had are known."""
+        kept = np.flatnonzero(self.again)
+        numbers = type(self.numbers)()
+        numbers.update(zip(compress(self.numbers, self.again.tolist()), range(len(kept)), strict=True))
+        self.numbers, self.again = numbers, np.ones(len(kept), bool)
+        self.ids, ends = self._of(kept)
+        self.length = self.length[kept]
+        self.first = ends - self.length
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_word:
             return [self._whole(t) for t in texts]
         if not texts:
             return []
+        if len(self.again) - np.count_nonzero(self.again) > self.single:
+            self._forget_single()
         if len(self.numbers) > self.most:
             self._forget()
         # the tokenizer lowers case itself; only its special tokens, which begin with <|, tell cases apart
@@ -134,7 +149,9 @@ class Encoder:
         # only distinct words are looked up; an empty text has one word, the empty one, which is the end of a document
         distinct = words.flatten().dictionary_encode()
         known = distinct.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-        numbers = np.fromiter(map(self.numbers.__getitem__, known), np.int64, len(known))[distinct.indices.to_numpy()]
+        numbers = np.fromiter(map(self.numbers.__getitem__, known), np.int64, len(known))
+        self.again[numbers[numbers < len(self.again)]] = True
+        numbers = numbers[distinct.indices.to_numpy()]
         self._learn()
         some = pc.not_equal(given, "").to_numpy(zero_copy_only=False)
         sizes = np.diff(words.offsets.to_numpy())
@@ -159,6 +176,7 @@ class Encoder:
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
+        self.again = np.concatenate([self.again, np.zeros(len(found), bool)])
         numbers.new.clear()
 
     def _encode(self, words: list[bytes], found: list) -> list[int]:
@@ -188,11 +206,13 @@ class Encoder:
         return rest
 
 
-def _largest(ids: np.ndarray) -> tuple[int, int]:
-    """The largest id and the next one, or the same one twice."""
-    most = ids.max()
-    rest = ids[ids != most]
-    return int(most), int(rest.max() if len(rest) else most)
+def _largest(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts of n ids each, the largest id and the next one, or the same one twice."""
+    first, ids = np.cumsum(n) - n, ids.astype(np.int32)
+    most = np.maximum.reduceat(ids, first)
+    ids[ids == np.repeat(most, n)] = -1
+    rest = np.maximum.reduceat(ids, first)
+    return most, np.where(rest < 0, most, rest)
 
 
 def tokenised(docs: DataFrame, p: PackingParameters, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,17 +220,20 @@ def tokenised(docs: DataFrame, p: PackingParameters, key: str = "doc_id", text:
 
     def run(batches):
         encode = None
-        for part, texts in slices(batches, "text", 4_000_000):
+        for part, texts in slices(batches, "text", 2_000_000):
             encode = encode or Encoder(p)
             ids = encode(texts)
             small = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-            top = [_largest(x) for x in ids]
+            n = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.concatenate(ids)
+            ends = np.concatenate([[0], np.cumsum(n)]) * np.dtype(small).itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.astype(small))])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([a for a, _ in top], pa.int32()), pa.array([b for _, b in top], pa.int32()), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.astype(small).tobytes() for x in ids], pa.binary())],
+                [part.column("doc_id"), *(pa.array(x, pa.int32()) for x in (*_largest(flat, n), n)), data],
                 names=["doc_id", "sig_a", "sig_b", "n", "ids"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, sig_a int, sig_b int, n int, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, sig_a int, sig_b int, n int, ids binary")
 
 
 def _ids(data: bytes, n: int) -> np.ndarray:
@@ -232,7 +255,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": at, "df": total[at]})
 
-    summed = tokens.select("n", "ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    summed = tokens.select("n", "ids").mapInArrow(lean(count), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     out = np.zeros(1 + max([0, *summed.column("term").to_pylist()]), np.int64)
     out[summed.column("term").to_numpy()] = summed.column("df").to_numpy()
     return out
@@ -325,7 +348,8 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, p: PackingParamet
 def pack(docs: DataFrame, p: PackingParameters | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece: where it stands in its document and in which sequence at which offset."""
     p = p or PackingParameters()
-    tokens = written(tokenised(docs, p, key, text), "tokens")
+    with arrow_batches(docs.sparkSession, "4m"):
+        tokens = written(tokenised(docs, p, key, text), "tokens")
     rows, total = tokens.agg(F.count("*"), F.sum("n")).first()
     df = document_frequencies(tokens)
     idf = np.log1p((max(rows, 1) - df + 0.5) / (df + 0.5)).astype(np.float32)
@@ -359,7 +383,7 @@ def pack(docs: DataFrame, p: PackingParameters | None = None, key: str = "doc_id
         if held:
             yield done()
 
-    return tokens.repartitionByRange(shards, "sig_a", "sig_b", "doc_id").sortWithinPartitions("sig_a", "sig_b", "doc_id", "n").mapInArrow(run, PIECE)
+    return tokens.repartitionByRange(shards, "sig_a", "sig_b", "doc_id").sortWithinPartitions("sig_a", "sig_b", "doc_id", "n").mapInArrow(lean(run), PIECE)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

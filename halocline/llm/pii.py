@@ -25,6 +25,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,7 +226,9 @@ def detect(docs: DataFrame, p: PiiParameters | None = None, key: str = "doc_id",
         plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["last"].alias("last")))
         return rows.select("doc_id", *row, plain.alias("base"), plain.alias("spans"))
     flat = [(k, *x, q) for k, of in sorted(posterior.items()) for x, q in sorted(of.items())]
-    soft = F.broadcast(spark.createDataFrame(flat, "kind string, " + ", ".join(f"{s} int" for s in SHAPES) + ", q double"))  # at most 4 * 3^5 rows
+    kinds = [pa.string(), *[pa.int32()] * len(SHAPES), pa.float64()]
+    few = pa.table([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["kind", *SHAPES, "q"])
+    soft = F.broadcast(spark.createDataFrame(few))  # at most 4 * 3^5 rows; a list of rows would start Python workers, which stay
     joined = each.select("kind", "f", *[F.col(f"v.{s}").alias(s) for s in SHAPES]).join(soft, ["kind", *SHAPES])
     seen = joined.select("kind", "q", F.explode("f").alias("f")).groupBy("kind", "f").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no")).collect()  # at most some hundred feature values by kind
     sums = {k: (sum(r.yes for r in seen if r.kind == k), sum(r.no for r in seen if r.kind == k)) for k in posterior}

@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halocline.llm import html_text, language_id, mixing, neighbours, ngram_join, packing, pii, quality, toxicity, warc
-from halocline.llm.common import new_path, table
+from halocline.llm import common, html_text, language_id, mixing, neighbours, ngram_join, packing, pii, quality, toxicity, warc
+from halocline.llm.common import new_path, table, written
 from halocline.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -247,6 +247,39 @@ def test_encoder_looks_up_distinct_words_only():
     assert Counted.asked < 20
 
 
+def test_encoder_forgets_words_of_one_slice():
+    """Words that come once don't pile up in the worker; those that come again stay, and ids are the same throughout."""
+    encode = packing.Encoder(packing.PackingParameters(single_words=100))
+    for i in range(40):
+        text = "often. a word " + " ".join(f"w{i}x{j}" for j in range(50)) + (" w0x7 w1x1" if i % 3 == 0 else "")
+        assert encode([text])[0].tolist() == encode._whole(text).tolist()
+        assert len(encode.numbers) == len(encode.length) <= 1 + 6 + 100 + 2 * 52
+    assert {b"often", b"a", b"word"} <= set(encode.numbers) and encode.numbers[b""] == 0
+
+
+def test_packing_gets_small_batches(spark, monkeypatch):
+    """Long texts reach the encoder in batches of some megabytes, and the session's setting is as before."""
+    seen, key = [], common.BATCH
+    monkeypatch.setattr(packing, "written", lambda df, what: seen.append(df.sparkSession.conf.get(key)) or written(df, what))
+    before = spark.conf.get(key)
+    packing.pack(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")))
+    assert seen == ["4m"] and spark.conf.get(key) == before
+    with common.arrow_batches(spark, "1m"):
+        rows = spark.range(600).select(F.expr("repeat('word ', 2000)").alias("text")).coalesce(1)
+        sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 4 and max(r.n for r in sizes) < 2_000_000
+
+
+def test_lean_gives_the_same():
+    assert list(common.lean(lambda batches: (2 * x for x in batches))(iter([1, 2, 3]))) == [2, 4, 6]
+
+
+def test_personal_data_starts_no_python_workers(spark, monkeypatch):
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("mail me: a.b@example.org or +1 202 555 0100").alias("text"))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("a list of rows goes through Python workers"))
+    assert pii.detect(docs).where("size(base) = 2").count() == 20
+
+
 def test_another_tokenizer_is_encoded_whole(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
