@@ -294,3 +294,28 @@ def test_a_whole_cycle(spark):
     seen = after.agg(F.count("*").alias("n"), F.max(F.when(~F.col("wet"), F.abs(F.col("a")[0]))).alias("dry"), F.avg(F.when(F.col("wet"), F.col("spread_f"))).alias("f"), F.avg(F.when(F.col("wet"), F.col("spread_a"))).alias("a")).first()
     assert seen.n == 4 * 17 * 36 and seen.dry == 0 and seen.a < seen.f
     assert diagnose(fields).where("spread > 0 and abs(corr) <= 1.000001").count() == seen.n
+
+
+#: id, user, type and k of events just as deep as the water there, and of one at the surface; last digits decide which is land
+LEVEL = [(101898, 1892, "purchase", 62), (314615, 5133, "purchase", 32), (464446, 6079, "purchase", 62), (526494, 8063, "signup", 33), (464447, 6079, "view", 62)]
+MAPPED = "analysed_observations analysis_stats bad_batches batch_statistics corner_interpolation cycle_windows exclude_mask first_failing_check forecast_stats forecast_stats_rmsd grid_mapping h_asynchronous h_depth h_depth_with_surface_bias".split()
+
+
+@pytest.fixture(scope="module")
+def level(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("level")
+    pd.DataFrame([(i, pd.Timestamp("2024-01-15 12:00"), user, kind, 50.0 + i % 7, f'{{"k": {k}}}') for i, user, kind, k in LEVEL], columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).to_parquet(folder / "events.parquet", coerce_timestamps="us")
+    (folder / "embeddings.parquet").symlink_to(f"{SMALL}/embeddings.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", MAPPED)
+def test_depths_equal_to_the_waters_are_sided_as_in_sql(spark, level, name):
+    duck = duckdb.connect(config={"threads": 1})
+    for t in ("events", "embeddings"):
+        duck.sql(f"create view {t} as select * from '{level}/{t}.parquet'")
+    a, b = queries.QUERIES[name](spark, str(level)).toPandas(), duck.sql(queries.ORACLE[name]).df()
+    columns = sorted(a.columns)
+    a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (a, b))
+    assert len(a)
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=2e-6)
