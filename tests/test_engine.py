@@ -319,3 +319,19 @@ def test_depths_equal_to_the_waters_are_sided_as_in_sql(spark, level, name):
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (a, b))
     assert len(a)
     pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=2e-6)
+
+
+def test_triangles_put_members_together_once(spark, duck):
+    """Observations carry numbers: members are collected by triangle, of which there are few, and not by observation."""
+    plan = queries.QUERIES["triangle_interpolation"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    collecting = [line for line in plan.splitlines() if "collect_list" in line and "Aggregate" in line]
+    assert len(collecting) == 1 and "[v0#" in collecting[0]
+
+
+def test_triangles_need_a_least_sum_of_wet_weights(spark):
+    placed = spark.createDataFrame([(1, 0, 1, 2, 0.5, 0.5, 0.0), (2, 0, 1, 2, 1e-7, 0.0, 1 - 1e-7), (3, 0, 1, 2, -1e-13, 1 + 1e-13, 0.0)], "id long, v0 int, v1 int, v2 int, w0 double, w1 double, w2 double")
+    field = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 5.0]), (2, [100.0, 100.0])], "node int, e array<double>")
+    nodes = spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "node int, numlevels int")
+    found = {r.id: r.he for r in spatial.members_of_triangles(placed, field, nodes, least=1e-6).collect()}
+    assert found == {1: [2.0, 3.5], 3: [3.0, 5.0]}
+    assert spatial.members_of_triangles(placed, field, nodes).where("id = 2").first().he == pytest.approx([1.0, 2.0])
